@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .language_id import op3_language_id
 from .quality import op5_quality_rules
+from .simhash import op10_simhash_dedup
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_quality_rules, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op5_quality_rules, op9_token_counts, op10_simhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}
