@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 def worker_memo() -> dict:
     """A dict that lives as long as the Python worker; functions travel by value, so module globals live for one task only."""
     return sys.__dict__.setdefault("_graphlex_memo", {})
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast whose classes travel by value as well; received() takes it out on a worker."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast):
+    return pickle.loads(shared.value)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, worker_memo
+from .common import received, share, table, worker_memo
 
 SIZES = (1, 2, 3, 4)
 PROBES = 3
@@ -144,7 +144,7 @@ def fit(labelled: DataFrame, docs_per_language: int = 400, grams_per_language: i
 
 def _predictor(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f = received(shared)
         for batch in batches:
             got = [f.predict(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -162,13 +162,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = share(docs.sparkSession, filters)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(_predictor(shared), SCHEMA)
 
 
 def _keeper(shared, column: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f = received(shared)
         for batch in batches:
             got = [f.predict(x.as_py()) for x in batch.column(column)]
             yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in got], pa.bool_()))
@@ -178,7 +178,7 @@ def _keeper(shared, column: int, least: float) -> Callable:
 
 def keep_known(docs: DataFrame, filters: Filters, least_score: float) -> DataFrame:
     """The rows of docs, unchanged, whose text is in a known language with at least that score. Needs no id and no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = share(docs.sparkSession, filters)
     return docs.mapInArrow(_keeper(shared, docs.columns.index("text"), least_score), docs.schema)
 
 

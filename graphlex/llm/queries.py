@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
 from .language_id import op3_language_id
+from .packing import op2_best_fit_packing
 from .quality import op5_quality_rules
+from .sharding import op6_sharding
 from .simhash import op10_simhash_dedup
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op5_quality_rules, op9_token_counts, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_best_fit_packing, op3_language_id, op5_quality_rules, op6_sharding, op9_token_counts, op10_simhash_dedup)}
 ORACLE_SQL: dict[str, str] = {}

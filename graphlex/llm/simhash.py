@@ -1,11 +1,11 @@
 """SimHash near duplicates by vantage-point trees.
 
-Every text has a 64-bit fingerprint: the majority of the XXH64 bits (seed 42) of its three-word shingles. A vantage-point
-tree, fitted on a bounded sample of distinct fingerprints, cuts the space of fingerprints into shards: an inner node sends
-fingerprints at distance up to its radius to the left and those further away to the right. By the triangle inequality a
-fingerprint at distance up to radius - 3 has no partner on the right; the others on the left also go right, to the shard that
-they overlap. So any two fingerprints within 3 bits meet in some shard, where they are compared exactly. The shards' links
-then give components.
+Every text has a 64-bit fingerprint: the majority of the XXH64 bits (seed 42) of its three-word shingles. Two fingerprints within
+3 bits are within 1 bit in their lower or their upper half, so there is a vantage-point tree over each half, fitted on a
+bounded sample of distinct fingerprints. A tree cuts the space into shards: an inner node sends fingerprints at distance up to
+its radius r to the left and those further away to the right. By the triangle inequality a fingerprint at distance up to r - 1
+has no partner on the right; the others on the left also go right, to the shard that they overlap. So any two fingerprints
+within 3 bits meet in some shard of a tree, where all 64 bits are compared exactly. The shards' links then give components.
 
 A shard emits a spanning forest, one link for each fingerprint at most, never all pairs. The tree is only a division of
 labour: links are the same for any tree. Fingerprints, not documents, are compared, so exact copies cost nothing.
@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, received, share, table
 from .components import components
 
 SEED = 42
 SHINGLE = 3
 BLOCK = 1 << 16
+#: The bits over which the trees measure distance.
+HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 
 
 def fingerprint(text: str | None) -> int:
@@ -56,10 +58,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Tree:
-    """A vantage-point tree over 64-bit fingerprints; `near` is the largest distance of a link."""
+    """A vantage-point tree over the masked bits of fingerprints; `near` is the largest distance there of fingerprints that must meet."""
 
-    def __init__(self, sample: np.ndarray, total: int, near: int = 3, leaf: int = 4096, seed: int = 1):
-        self.near, self.nodes, self.leaves = near, [], 0
+    def __init__(self, sample: np.ndarray, mask: np.uint64, total: int, near: int, leaf: int, seed: int = 1):
+        self.mask, self.near, self.nodes, self.leaves = mask, near, [], 0
         self.root = self._build(sample, total / max(1, len(sample)), leaf, np.random.default_rng(seed), 0)
 
     def _build(self, own: np.ndarray, weight: float, leaf: int, rng, depth: int) -> int:
@@ -67,8 +69,8 @@ class Tree:
         if len(own) * weight > leaf and len(own) >= 16 and depth < 40:
             best = None
             for v in rng.choice(own, min(4, len(own)), replace=False):
-                d = np.bitwise_count(own ^ v)
-                for r in range(max(0, int(np.median(d)) - 1), int(np.median(d)) + 4):
+                d = np.bitwise_count((own ^ v) & self.mask)
+                for r in range(max(0, int(np.median(d)) - 1), int(np.median(d)) + 3):
                     left, right = own[d <= r], own[d > r - self.near]
                     if best is None or max(len(left), len(right)) < max(len(best[2]), len(best[3])):
                         best = (v, r, left, right)
@@ -92,7 +94,7 @@ class Tree:
                 yield ~node, at
                 continue
             v, r, left, right = self.nodes[node]
-            d = np.bitwise_count(fp[at] ^ v)
+            d = np.bitwise_count((fp[at] ^ v) & self.mask)
             todo += [(left, at[d <= r]), (right, at[d > r - self.near])]
 
 
@@ -123,10 +125,10 @@ def forest(fp: np.ndarray, near: int, tile: int = 256) -> tuple[np.ndarray, np.n
 
 def _router(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        trees = received(shared)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            got = list(tree.route(fp))
+            got = [(leaf * len(trees) + k, at) for k, tree in enumerate(trees) for leaf, at in tree.route(fp)]
             if got:
                 leaf = np.concatenate([np.full(len(at), k, np.int64) for k, at in got])
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.concatenate([fp[at] for _, at in got]).view(np.int64))], names=["leaf", "fp"])
@@ -142,12 +144,12 @@ def _linker(near: int) -> Callable:
     return run
 
 
-def linked(distinct: DataFrame, near: int = 3, sample: int = 1 << 16, leaf: int = 4096) -> DataFrame:
+def linked(distinct: DataFrame, near: int = 3, sample: int = 1 << 16, leaf: int = 16384) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints (column fp) that are within `near` bits, directly or not."""
     total = distinct.count()
     some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)  # bounded: `sample` longs
-    tree = distinct.sparkSession.sparkContext.broadcast(Tree(some, total, near, leaf))
-    return distinct.select("fp").mapInArrow(_router(tree), "leaf long, fp long").groupBy("leaf").applyInPandas(_linker(near), "a long, b long")
+    trees = share(distinct.sparkSession, [Tree(some, mask, total, near // 2, leaf) for mask in HALVES])
+    return distinct.select("fp").mapInArrow(_router(trees), "leaf long, fp long").groupBy("leaf").applyInPandas(_linker(near), "a long, b long")
 
 
 def with_components(docs: DataFrame, near: int = 3) -> DataFrame:
