@@ -1,24 +1,49 @@
-"""The corpus pipeline: stages that each apply one operator of graphlex.llm to what the stage before kept."""
+"""The corpus pipeline: five stages, each applying one operator of graphlex.llm to all that the stage before kept.
+
+language_id drops documents whose language the filters do not know; line_dedup takes out lines that are equal or similar to an
+earlier line, and documents of which no word is left by that; near_dedup keeps one document of each SimHash component;
+decontamination drops documents that overlap with a benchmark item; packing lays out the rest in sequences.
+
+Nulls, empty texts, repeated rows and empty tables are handled as each operator's module says: null and letterless texts go in
+the first stage, repeated rows in the third. Extra columns are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlex.llm import language_id
+from graphlex.llm import decontamination, language_id, line_dedup, packing, simhash
 from graphlex.llm.common import table
 
-#: Texts whose language the filters know less well than this are rejected.
+#: Texts that the best language's filter knows less well than this are rejected.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is known. The filters learn from the same rows as op3's."""
     return language_id.keep_known(docs, language_id.fit(language_id.training_rows(docs)), LEAST_SCORE)
 
 
-STAGES = [("language_id", language)]
-#: SQL has no Bloom filters over n-grams.
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(docs).where(F.expr("n_removed = 0 OR text rlike r'[^\\x20\\x09-\\x0D]'"))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return left.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near), ("decontamination", clean), ("packing", packed)]
+#: SQL has neither filters over n-grams, nor fingerprints, nor best fit: the stages are tested one by one.
 ORACLE_SQL = None
 
 
