@@ -21,6 +21,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def running_sum(rows: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """rows with the sum of `value` over all rows before each, in a total order over the whole table, and without one task that sees it all.
+
+    Rows are dealt by ranges of the order and checkpointed, so that a second pass finds the same ranges; the driver gets one sum for each range.
+    """
+    keys = [f"__o{k}" for k in range(len(order))]
+    dealt = rows.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)], value.alias("__v"))
+    dealt = cut(dealt.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()))
+    before, at = [], 0
+    for p, total in sorted((r["__p"], r["t"]) for r in dealt.groupBy("__p").agg(F.sum("__v").alias("t")).collect()):
+        before.append((p, at))
+        at += total
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__p int, __b long"))
+    inside = F.coalesce(F.sum("__v").over(Window.partitionBy("__p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(offsets, "__p").withColumn(name, (F.col("__b") + inside).cast("long")).drop("__p", "__b", "__v", *keys)
+
+
 def canonical_edges(edges: DataFrame, directed: bool = False) -> DataFrame:
     """Distinct edges without loops; ends sorted unless directed."""
     ends = ("u", "v") if directed else (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))

@@ -121,8 +121,8 @@ def ratio_split(rows: DataFrame, key: str, train: float, val: float, seed: int |
     total = rows.count()
     a = round(train * total)
     b = a + round(val * total)
-    k = F.row_number().over(Window.orderBy(order, key))
-    return rows.withColumn("__k", k).withColumn("split", F.when(F.col("__k") <= a, "train").when(F.col("__k") <= b, "val").otherwise("test")).drop("__k")
+    ranked = G.running_sum(rows, [order, F.col(key)], F.lit(1), "__k")
+    return ranked.withColumn("split", F.when(F.col("__k") < a, "train").when(F.col("__k") < b, "val").otherwise("test")).drop("__k")
 
 
 def hash_cap(rows: DataFrame, key: str, cap: int, seed: int, group: str | None = None) -> DataFrame:
@@ -167,8 +167,8 @@ def macro_f1(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     """One row: area under the curve by rank sums, ties at their mean rank. Ranks come from counts by score, so only distinct scores are ordered."""
     n = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = n.select("n", "pos", (before + (F.col("n") + 1) / 2.0).alias("rank")).agg(F.sum(F.col("pos") * F.col("rank")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
+    ranked = G.running_sum(n, [F.col(score)], F.col("n"), "before")
+    r = ranked.select("n", "pos", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank")).agg(F.sum(F.col("pos") * F.col("rank")).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("t"))
     return r.select(F.when((F.col("p") > 0) & (F.col("p") < F.col("t")), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("t") - F.col("p")))).alias("auc"))
 
 

@@ -138,8 +138,10 @@ def merge_options(base: dict, more: dict | None) -> dict:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line from 1, value) of a text file. Lines are numbered within files by their place, files by name."""
+    from ..operators.graph import running_sum
+
     rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return rows.select(F.row_number().over(Window.orderBy("file", "at")).alias("line"), "value")
+    return running_sum(rows, [F.col("file"), F.col("at")], F.lit(1), "line").select((F.col("line") + 1).cast("int").alias("line"), "value")
 
 
 def read_tu(spark: SparkSession, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
