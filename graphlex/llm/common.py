@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import sys
 import tempfile
+import time
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts hold 1000 rows, not the default 10000, unless the session sets another number: memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are no longer referenced now, not at the driver's next full collection."""
+    gc.collect()
+    spark.range(8).groupBy((F.col("id") % 2).alias("k")).count().collect()  # the threads that planned the last query hold on to it until they plan another
+    client = spark.sparkContext._gateway._gateway_client
+    for _ in range(100):  # Python tells the JVM bit by bit which objects it has dropped
+        time.sleep(0.1)
+        if not getattr(client, "finalizer_deque", ()):
+            break
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def worker_memo() -> dict:
     """A dict that lives as long as the Python worker; functions travel by value, so module globals live for one task only."""
     return sys.__dict__.setdefault("_graphlex_memo", {})

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import received, share, table
+from .common import received, share, small_batches, table
 
 #: Selected positions of each mask.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10))
@@ -155,6 +155,7 @@ def _dropper(shared, column: int) -> Callable:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, shortest: int = 5, block_tokens: int = 1_000_000) -> DataFrame:
     """A row for each document row and item that overlap: ids, words of the overlap, equal ones, and where it starts in both (in tokens)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     out = spark.createDataFrame([], SCHEMA)
     for block in blocks(benchmark, min_words, shortest, block_tokens):
@@ -165,6 +166,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, short
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, shortest: int = 5, block_tokens: int = 1_000_000) -> DataFrame:
     """The rows of docs, unchanged, that overlap with no item."""
+    small_batches(docs.sparkSession)
     for block in blocks(benchmark, min_words, shortest, block_tokens):
         docs = docs.mapInArrow(_dropper(share(docs.sparkSession, block), docs.columns.index("text")), docs.schema)
     return docs

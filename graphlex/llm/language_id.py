@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import received, share, table, worker_memo
+from .common import received, share, small_batches, table, worker_memo
 
 SIZES = (1, 2, 3, 4)
 PROBES = 3
@@ -162,6 +162,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = share(docs.sparkSession, filters)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(_predictor(shared), SCHEMA)
 
@@ -178,6 +179,7 @@ def _keeper(shared, column: int, least: float) -> Callable:
 
 def keep_known(docs: DataFrame, filters: Filters, least_score: float) -> DataFrame:
     """The rows of docs, unchanged, whose text is in a known language with at least that score. Needs no id and no shuffle."""
+    small_batches(docs.sparkSession)
     shared = share(docs.sparkSession, filters)
     return docs.mapInArrow(_keeper(shared, docs.columns.index("text"), least_score), docs.schema)
 

@@ -4,8 +4,9 @@ A line is the set of its words. Equal lines are first reduced to one row each. W
 Jaccard similarity of at least num/den then share a word among the rarest n - ceil(n * num/den) + 1 of each (prefix filter).
 Lines that share such a word stay candidates of each other if their sizes (length filter), the words that may still follow
 (positional filter) and the parity bitmaps of their words (their symmetric difference has at least as many words as the bitmaps
-differ in bits) allow the similarity. Both joins are semi joins: they yield each line once and end at its first partner, so a
-group of copies never turns into all of its pairs. The second one, over candidates only, verifies the Jaccard similarity.
+differ in bits) allow the similarity. A first semi join finds the lines with any candidate; it yields each line once. Each of these is
+then compared with the earliest line of every prefix word it has, which settles groups of copies without their pairs; only lines
+that are still unsettled are paired with all earlier candidates. Every pair is verified by its exact Jaccard similarity.
 
 Result: a line goes if an earlier line is equal or similar, whether or not that one stays itself. Earlier: by id (null first), then
 by a hash of the text, then by line number. Lines without a word and lines with fewer than `min_words` different words stay.
@@ -15,13 +16,12 @@ as 64-bit keys (16 bits of frequency, 47 of hash), lines as 128-bit hashes. Extr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 
-#: White space of words, for split() and trim().
-SPACE = r"[\\x20\\x09-\\x0D]+"
+#: White space of words beside \n, for trim().
 TRIM = r"' \t\n\r\u000B\u000C'"
 SKETCH_BITS = 18
 POSITION = ("doc_id", "text_hash", "line_no")
@@ -35,55 +35,84 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """One row, one array: how often the words of each of 2 ^ SKETCH_BITS hash cells occur in all texts."""
-    words = docs.select(F.explode(F.expr(f"split(text, '{SPACE}')")).alias("w"))
+    """One row, one array: how often the words of each of 2 ^ SKETCH_BITS hash cells occur in all texts, as the upper bits of a word's key."""
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     cells = words.groupBy(F.expr(f"shiftrightunsigned(xxhash64(w), {64 - SKETCH_BITS})").alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
     dense = cells.union(every).groupBy("cell").agg(F.sum("n").alias("n"))
-    return dense.agg(F.expr("transform(sort_array(collect_list(struct(cell, n))), x -> cast(least(x.n, 65535) AS int))").alias("sketch"))
+    return dense.agg(F.expr("transform(sort_array(collect_list(struct(cell, n))), x -> shiftleft(least(x.n, 65535L), 47))").alias("sketch"))
 
 
-def _with_words(lines: DataFrame, sketch: DataFrame, num: int, den: int) -> DataFrame:
-    """Adds s (the keys of the line's words, rarest first), n (their number), p (prefix length) and sig (parity bitmap)."""
-    hashes = lines.withColumn("h", F.expr(f"array_distinct(transform(split(btrim(line, {TRIM}), '{SPACE}'), w -> xxhash64(w)))")).withColumn("sketch", sketch.scalar())
-    key = f"shiftleft(cast(sketch[cast(shiftrightunsigned(x, {64 - SKETCH_BITS}) AS int)] AS bigint), 47) | (x & {(1 << 47) - 1}L)"
-    keyed = hashes.withColumn("s", F.expr(f"array_sort(transform(h, x -> {key}))")).drop("h", "sketch", "line")
+def _with_words(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
+    """Adds s (the keys of the line's words, rarest first), n (their number), p (prefix length, 0 if n < min_words) and sig (parity bitmap)."""
+    other = " OR ".join(f"contains(line, {c})" for c in (r"'\t'", r"'\r'", r"'\u000B'", r"'\u000C'"))
+    blank = F.expr(rf"CASE WHEN {other} THEN translate(line, '\t\r\u000B\u000C', '    ') ELSE line END")
+    hashes = lines.withColumn("h", F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))).withColumn("sketch", sketch.scalar())
+    keyed = hashes.withColumn("s", F.sort_array(F.expr(f"transform(h, x -> coalesce(sketch[shiftrightunsigned(x, {64 - SKETCH_BITS})], 0L) | (x & {(1 << 47) - 1}L))"))).drop("h", "sketch", "line")
     n = keyed.withColumn("n", F.size("s"))
-    return n.withColumn("p", F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1")).withColumn("sig", F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))"))
+    return n.withColumn("p", F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")).withColumn("sig", F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))"))
 
 
-def _prefixes(lines: DataFrame, min_words: int, *extra: str) -> DataFrame:
+def _prefixes(lines: DataFrame, *extra: str) -> DataFrame:
     """A row for each line and word of its prefix."""
-    some = lines.where(F.col("n") >= min_words)
-    return some.select("k", "n", "sig", *extra, F.posexplode(F.expr("slice(s, 1, cast(p AS int))")).alias("i", "word"))
+    return lines.select("k", "n", "sig", *extra, F.posexplode(F.expr("slice(s, 1, cast(p AS int))")).alias("i", "word"))
 
 
 def _may(num: int, den: int) -> str:
-    """Length, positional and bitmap filters on aliases a and b; `need` common words make the similarity."""
+    """Prefix, length, positional and bitmap filters on aliases a and b; `need` common words make the similarity.
+
+    The first common word of a similar pair has `need` words or more from its place on in both lines.
+    """
     need = f"(({num} * (a.n + b.n) + {num + den - 1}) div {num + den})"
-    return f"""b.n * {den} >= a.n * {num} AND a.n * {den} >= b.n * {num}
-        AND least(a.i, b.i) + 1 + least(a.n - a.i, b.n - b.i) - 1 >= {need}
+    return f"""a.k <> b.k AND b.n * {den} >= a.n * {num} AND a.n * {den} >= b.n * {num}
+        AND a.n - a.i >= {need} AND b.n - b.i >= {need}
+        AND least(a.i, b.i) + least(a.n - a.i, b.n - b.i) >= {need}
         AND bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}"""
 
 
-def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
-    """For each different line: k, k2, its first position, and whether an earlier line is similar; checkpointed."""
-    sketch = cut(_sketch(docs))
+def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (k, other) the distinct k that are later than their other and similar to it."""
+    a, b = words.select("k", "n", "s", "at"), words.select(F.col("k").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("at").alias("before"))
+    same = f"before < at AND size(array_intersect(s, t)) * {num + den} >= {num} * (n + m)"
+    return pairs.distinct().join(a, "k").join(b, "other").where(same).select("k").distinct()
+
+
+def _candidates(docs: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
+    """For each different line: k, k2, its first position, near (whether it has any candidate), and the text of such lines; checkpointed."""
     first = F.min(F.struct(*POSITION, "k2", "line"))
     distinct = _lines(docs).groupBy("k").agg(first.alias("f")).select("k", "f.*")
-    rows = _prefixes(_with_words(distinct.select("k", "line"), sketch, num, den), min_words)
+    rows = _prefixes(_with_words(distinct.select("k", "line"), sketch, num, den, min_words))
+    near = rows.alias("a").join(rows.alias("b"), F.expr(f"a.word = b.word AND {_may(num, den)}"), "left_semi").select("k").distinct()
+    every = distinct.join(near.withColumn("near", F.lit(True)), "k", "left")
+    return cut(every.withColumn("line", F.when(F.col("near"), F.col("line"))).withColumn("near", F.col("near").isNotNull()))
+
+
+def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
+    """For each different line: k, k2, its first position, and whether an earlier line is similar."""
     may = _may(num, den)
-    near = rows.alias("a").join(rows.alias("b"), F.expr(f"a.word = b.word AND a.k <> b.k AND {may}"), "left_semi").select("k").distinct()
-    again = _prefixes(_with_words(distinct.join(near, "k"), sketch, num, den), min_words, *POSITION, "s")
-    earlier = "struct(b.doc_id, b.text_hash, b.line_no) < struct(a.doc_id, a.text_hash, a.line_no)"
-    same = f"size(array_intersect(a.s, b.s)) * {num + den} >= {num} * (a.n + b.n)"
-    later = again.alias("a").join(again.alias("b"), F.expr(f"a.word = b.word AND {earlier} AND {may} AND {same}"), "left_semi").select("k").distinct().withColumn("similar", F.lit(True))
-    return cut(distinct.drop("line").join(later, "k", "left").withColumn("similar", F.coalesce("similar", F.lit(False))))
+    sketch = cut(_sketch(docs))
+    every = _candidates(docs, sketch, num, den, min_words)
+    release(docs.sparkSession)  # of the largest shuffles, before the next ones
+    at = F.struct(*POSITION).alias("at")
+    # Kept by k, so that verifying moves pairs, not words; a lost part is computed again from the checkpoint.
+    words = _with_words(every.where("near").select("k", at, "line").repartition("k"), sketch, num, den, min_words).persist()
+    again = _prefixes(words.withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "d")
+    own = F.min(F.struct("d", "k", "n", "sig", "i")).over(Window.partitionBy("word"))
+    first = again.withColumn("b", own).select(F.struct("k", "n", "sig", "i").alias("a"), "b")
+    settled = _verified(first.where(may).select("a.k", F.col("b.k").alias("other")), words, num, den).persist()
+    rest = _prefixes(words.join(settled, "k", "left_anti").withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "d")
+    late = _verified(rest.alias("a").join(again.alias("b"), F.expr(f"a.word = b.word AND b.d <= a.d AND {may}")).select("a.k", F.col("b.k").alias("other")), words, num, den)
+    similar = cut(settled.unionByName(late).withColumn("similar", F.lit(True)))
+    settled.unpersist()
+    words.unpersist()
+    return every.drop("line", "near").join(similar, "k", "left").withColumn("similar", F.col("similar").isNotNull())
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
     """docs with its columns, text without the lines that go, and the columns n_lines and n_removed."""
-    seen = verdicts(docs, num, den, min_words).select(F.col("k"), F.col("k2").alias("own"), *[F.col(c).alias(f"first_{c}") for c in POSITION], "similar")
+    found = verdicts(docs, num, den, min_words)
+    release(docs.sparkSession)
+    seen = found.select(F.col("k"), F.col("k2").alias("own"), *[F.col(c).alias(f"first_{c}") for c in POSITION], "similar")
     lines = _lines(docs).drop("line").join(seen, "k")
     at_first = F.expr(" AND ".join(f"{c} <=> first_{c}" for c in POSITION))
     gone = lines.where((F.col("k2") == F.col("own")) & (F.col("similar") | ~at_first))

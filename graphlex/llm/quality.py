@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -84,6 +84,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_stats(docs: DataFrame) -> DataFrame:
     """doc_id and STATS for each row of docs."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_stats, STATS_SCHEMA)
 
 

@@ -33,7 +33,7 @@ def place(cells: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, cells: int = 8192, split_above: float = 1 / 32) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, cells: int = 8192, split_above: float = 0.5) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text).
 
     split_above: the share of a shard's capacity from which a group of equal texts is cut into pieces.

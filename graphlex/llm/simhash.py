@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, received, share, table
+from .common import cut, received, share, small_batches, table
 from .components import components
 
 SEED = 42
@@ -154,6 +154,7 @@ def linked(distinct: DataFrame, near: int = 3, sample: int = 1 << 16, leaf: int
 
 def with_components(docs: DataFrame, near: int = 3) -> DataFrame:
     """doc_id, text_hash (xxhash64), fp, root (the component's smallest fingerprint) and component_id for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     thin = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"))
     groups = cut(thin.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(linked(groups, near)).select(F.col("a").alias("fp"), F.col("b").alias("root"))

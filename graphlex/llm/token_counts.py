@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_memo
+from .common import small_batches, table, worker_memo
 
 #: The pre-token pattern of the word_bpe tokenizer, as in its file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,6 +115,7 @@ def frequent_lengths(docs: DataFrame, definition: str, sample_docs: int, table_s
 
 def count_tokens(docs: DataFrame, definition: str, limit: int = 2048, sample_docs: int = 1000, table_size: int = 1 << 15, cache_size: int = 1 << 18) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((definition, frequent_lengths(docs, definition, sample_docs, table_size)))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(counter(shared, limit, cache_size), SCHEMA)
