@@ -43,14 +43,19 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return dense.agg(F.expr("transform(sort_array(collect_list(struct(cell, n))), x -> shiftleft(least(x.n, 65535L), 47))").alias("sketch"))
 
 
+def _parity(shift: int) -> str:
+    """A bitmap of 64 bits that each word of s flips one of."""
+    return f"aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, {shift}) & 63 AS int)))"
+
+
 def _with_words(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """Adds s (the keys of the line's words, rarest first), n (their number), p (prefix length, 0 if n < min_words) and sig (parity bitmap)."""
+    """Adds s (the keys of the line's words, rarest first), n (their number), p (prefix length, 0 if n < min_words), sig and sig2 (parity bitmaps)."""
     other = " OR ".join(f"contains(line, {c})" for c in (r"'\t'", r"'\r'", r"'\u000B'", r"'\u000C'"))
     blank = F.expr(rf"CASE WHEN {other} THEN translate(line, '\t\r\u000B\u000C', '    ') ELSE line END")
     hashes = lines.withColumn("h", F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))).withColumn("sketch", sketch.scalar())
     keyed = hashes.withColumn("s", F.sort_array(F.expr(f"transform(h, x -> coalesce(sketch[shiftrightunsigned(x, {64 - SKETCH_BITS})], 0L) | (x & {(1 << 47) - 1}L))"))).drop("h", "sketch", "line")
     n = keyed.withColumn("n", F.size("s"))
-    return n.withColumn("p", F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")).withColumn("sig", F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))"))
+    return n.withColumn("p", F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")).withColumn("sig", F.expr(_parity(0))).withColumn("sig2", F.expr(_parity(6)))
 
 
 def _prefixes(lines: DataFrame, *extra: str) -> DataFrame:
@@ -70,6 +75,11 @@ def _may(num: int, den: int) -> str:
         AND bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}"""
 
 
+def _may_still(num: int, den: int) -> str:
+    """The bitmap filter once more, with the second bitmap; lines that came this far are few enough to carry it."""
+    return f"bit_count(a.sig2 ^ b.sig2) <= a.n + b.n - 2 * (({num} * (a.n + b.n) + {num + den - 1}) div {num + den})"
+
+
 def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (k, other) the distinct k that are later than their other and similar to it."""
     a, b = words.select("k", "n", "s", "at"), words.select(F.col("k").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("at").alias("before"))
@@ -89,18 +99,18 @@ def _candidates(docs: DataFrame, sketch: DataFrame, num: int, den: int, min_word
 
 def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
     """For each different line: k, k2, its first position, and whether an earlier line is similar."""
-    may = _may(num, den)
+    may = f"{_may(num, den)} AND {_may_still(num, den)}"
     sketch = cut(_sketch(docs))
     every = _candidates(docs, sketch, num, den, min_words)
     release(docs.sparkSession)  # of the largest shuffles, before the next ones
     at = F.struct(*POSITION).alias("at")
     # Kept by k, so that verifying moves pairs, not words; a lost part is computed again from the checkpoint.
     words = _with_words(every.where("near").select("k", at, "line").repartition("k"), sketch, num, den, min_words).persist()
-    again = _prefixes(words.withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "d")
-    own = F.min(F.struct("d", "k", "n", "sig", "i")).over(Window.partitionBy("word"))
-    first = again.withColumn("b", own).select(F.struct("k", "n", "sig", "i").alias("a"), "b")
+    again = _prefixes(words.withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "sig2", "d")
+    own = F.min(F.struct("d", "k", "n", "sig", "sig2", "i")).over(Window.partitionBy("word"))
+    first = again.withColumn("b", own).select(F.struct("k", "n", "sig", "sig2", "i").alias("a"), "b")
     settled = _verified(first.where(may).select("a.k", F.col("b.k").alias("other")), words, num, den).persist()
-    rest = _prefixes(words.join(settled, "k", "left_anti").withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "d")
+    rest = _prefixes(words.join(settled, "k", "left_anti").withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "sig2", "d")
     late = _verified(rest.alias("a").join(again.alias("b"), F.expr(f"a.word = b.word AND b.d <= a.d AND {may}")).select("a.k", F.col("b.k").alias("other")), words, num, den)
     similar = cut(settled.unionByName(late).withColumn("similar", F.lit(True)))
     settled.unpersist()
