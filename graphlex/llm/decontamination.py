@@ -2,8 +2,9 @@
 
 A fixed mask selects some positions of a short span of tokens and ignores the others, so that a span still matches when
 tokens at ignored positions were substituted. The masked tokens at every position of every text are hashed and joined with
-those of the benchmark items; around each hit the texts are compared token by token on the hit's diagonal, and a pair stays
-if some run of `min_words` tokens or more (or the whole item, if that is shorter) through the hit agrees in 80 % of its tokens.
+those of the benchmark items; the texts are compared token by token on each hit's diagonal, and a pair stays if some run of `min_words`
+tokens or more (or the whole item, if that is shorter) on it agrees in 80 % of its tokens. Items of SHORT tokens or fewer get
+masks of their own that hit whenever 80 % of the whole item agree; an overlap with a longer item needs a hit of MASKS.
 
 The benchmark is the query set: it is read in blocks of at most `block_tokens` tokens, and each block's hash table is
 broadcast and joined on the map side, so documents are not shuffled and no table grows beyond the block.
@@ -16,9 +17,8 @@ longest overlap, and of equal ones the earliest. Empty tables give empty results
 from __future__ import annotations
 
 import string
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from .common import received, share, small_batches, table
 #: Selected positions of each mask.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10))
 SIMILARITY = 0.8
+#: Longest item, in tokens, with masks of its own: at most two substitutions.
+SHORT = 14
 SCHEMA = "doc_id long, item_id long, n_overlap long, n_equal long, start long, item_start long"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _PUNCTUATION = string.punctuation.encode()
@@ -45,8 +47,8 @@ def seeds(ids: np.ndarray, mask: tuple) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     known = ids > 0
-    ok = known[:n].copy()
-    for o in mask[1:]:
+    ok = np.ones(n, bool)
+    for o in mask:
         ok &= known[o : o + n]
     at = np.flatnonzero(ok)
     h = np.full(len(at), sum(1 << o for o in mask), np.uint64)
@@ -56,20 +58,22 @@ def seeds(ids: np.ndarray, mask: tuple) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
-def longest_similar(equal: np.ndarray, at: int) -> tuple[int, int]:
-    """[start, end) of the longest run through position `at` in which the share of equal tokens is SIMILARITY or more."""
-    score = np.where(equal, 1, -4)  # the sum is 0 at 80 %
-    right = np.cumsum(score[at:])
-    left = np.cumsum(score[: at + 1][::-1])
-    # For each right end the furthest left start that keeps the sum at 0 or more; the token at `at` counts in both.
-    best = (-1, 0, 0)
-    peak = np.maximum.accumulate(left[::-1])[::-1]  # the best sum of any start at that distance or beyond
-    for r in range(len(right)):
-        need = score[at] - right[r]
-        k = int(np.searchsorted(-peak, -need, side="right")) - 1
-        if k >= 0 and r + k > best[0]:
-            best = (r + k, at - k, at + r + 1)
-    return best[1:]
+def short_masks(n: int) -> set[tuple]:
+    """Masks of an item of n tokens, SHORT at most: of five parts as many are left out as tokens may differ, so one mask misses every difference."""
+    parts = [tuple(map(int, x)) for x in np.array_split(np.arange(n), 5)]
+    return {sum(kept, ()) for kept in combinations(parts, 5 - n // 5)}
+
+
+def longest_similar(equal: np.ndarray, at: int | np.ndarray) -> tuple[int, int]:
+    """[start, end) of the longest run through position `at` (or one of several, sorted) in which the share of equal tokens is SIMILARITY or more; the earliest of equals."""
+    at = np.atleast_1d(at)
+    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))  # equal at both ends of a run of 80 %
+    peak = np.maximum.accumulate(total[::-1])[::-1]  # the highest total from there on
+    start = np.arange(at[-1] + 1)
+    end = np.searchsorted(-peak, -total[start], side="right") - 1  # the last end that keeps the sum at 0 or more
+    length = np.where(end > at[np.searchsorted(at, start)], end - start, 0)
+    s = int(np.argmax(length))
+    return (s, s + int(length[s])) if length[s] else (int(at[0]), int(at[0]))
 
 
 class Block:
@@ -79,12 +83,15 @@ class Block:
         self.min_words = min_words
         self.vocab: dict[bytes, int] = {}
         self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64)) for i, words in items if len(words) >= shortest]
-        span = max(m[-1] for m in MASKS) + 1
-        self.masks = (*MASKS, *sorted({tuple(range(len(x))) for _, x in self.items if len(x) < span}))
+        own: dict[tuple, set[int]] = {}
+        for n in {len(x) for _, x in self.items if len(x) <= SHORT}:
+            for mask in short_masks(n):
+                own.setdefault(mask, set()).add(n)
+        self.masks = (*MASKS, *sorted(set(own) - set(MASKS)))
         at: list = []
-        for k, mask in enumerate(self.masks):
+        for mask in self.masks:
             for j, (_, x) in enumerate(self.items):
-                if k < len(MASKS) or len(x) == len(mask):
+                if mask in MASKS or len(x) in own[mask]:
                     p, h = seeds(x, mask)
                     at.append((h, np.full(len(p), j, np.int64), p))
         h, self.item, self.at = (np.concatenate(c) for c in zip(*at, strict=True)) if at else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -95,25 +102,21 @@ class Block:
         """(item_id, n_overlap, n_equal, start, item_start), one for each item found."""
         words = tokens(text)
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
-        hits: dict[tuple, int] = {}
+        hits: set[tuple] = set()
         for mask in self.masks:
             p, h = seeds(ids, mask)
             lo = np.searchsorted(self.hashes, h)
             for k in np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h) if len(self.hashes) else ():
                 r = int(lo[k])
                 while r < len(self.hashes) and self.hashes[r] == h[k]:
-                    hits.setdefault((int(self.item[r]), int(p[k] - self.at[r]), int(self.at[r])), 0)
+                    hits.add((int(self.item[r]), int(p[k] - self.at[r])))
                     r += 1
         found: dict = {}
-        done: dict = defaultdict(list)
-        for j, diagonal, at in sorted(hits):
-            if any(s <= at < e for s, e in done[j, diagonal]):
-                continue
+        for j, diagonal in sorted(hits):
             i, x = self.items[j]
             first, last = max(0, -diagonal), min(len(x), len(ids) - diagonal)
             equal = x[first:last] == ids[first + diagonal : last + diagonal]
-            s, e = longest_similar(equal, at - first)
-            done[j, diagonal].append((s + first, e + first))
+            s, e = longest_similar(equal, np.arange(len(equal)))
             if e - s >= min(self.min_words, len(x)):
                 row = (e - s, -(s + first + diagonal), -(s + first), int(equal[s:e].sum()))
                 found[i] = max(found.get(i, row), row)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -100,6 +101,34 @@ def test_decontamination_edges(odd, empty, spark):
     assert decontamination.drop_leaks(odd, b.limit(0)).count() == len(ODD)
 
 
+def found_leak(text: str, item: str) -> bool:
+    return bool(decontamination.Block([(1, decontamination.tokens(item))], 13, 5).search(text))
+
+
+def substituted(pattern: str) -> tuple[str, str]:
+    """A text and an item of distinct words that agree where the pattern has E."""
+    item = [f"w{k}" for k in range(len(pattern))]
+    return " ".join(w if c == "E" else "x" + w for w, c in zip(item, pattern, strict=True)), " ".join(item)
+
+
+def test_decontamination_looks_at_every_hit_of_a_diagonal():
+    assert slow_leak(*substituted("EMEEMEEEEEMEEMEEE")) and found_leak(*substituted("EMEEMEEEEEMEEMEEE"))
+    r = np.random.default_rng(7)
+    for _ in range(3000):
+        pattern = "".join("E" if x else "M" for x in r.random(r.integers(15, 30)) < 0.75)
+        hit = any(all(pattern[s + o] == "E" for o in mask) for mask in decontamination.MASKS for s in range(len(pattern) - mask[-1]))
+        pair = substituted(pattern)
+        assert found_leak(*pair) == (hit and slow_leak(*pair)), pattern
+
+
+def test_decontamination_of_short_items_holds_to_the_share():
+    for n in range(5, 14):
+        for k in range(4):
+            for places in combinations(range(n), k):
+                text, item = substituted("".join("M" if p in places else "E" for p in range(n)))
+                assert found_leak(f"some {text} more", item) == (5 * (n - k) >= 4 * n), (n, places)
+
+
 def test_longest_similar_is_the_longest():
     r = np.random.default_rng(5)
     for _ in range(200):
