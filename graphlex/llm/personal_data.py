@@ -30,14 +30,17 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: From the separator of a written-out address to its last label's first two characters.
+_HOST = r"(?:\x20?[\[({]\x20?(?i:at|@)\x20?[\])}]\x20?|\x20@\x20?|@\x20|\x20(?i:at)\x20)[A-Za-z0-9-]{1,64}+(?:\x20?[\[({]\x20?(?i:dot|\.)\x20?[\])}]\x20?|\x20(?i:dot)\x20|\x20\.\x20|\.)[A-Za-z0-9-]{2}"
 GENERATORS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?[\[({]\x20?(?i:at|@)\x20?[\])}]\x20?|\x20@\x20?|@\x20|\x20(?i:at)\x20)[A-Za-z0-9-]{1,64}+(?:\x20?[\[({]\x20?(?i:dot|\.)\x20?[\])}]\x20?|\x20(?i:dot)\x20|\x20\.\x20|\.)[A-Za-z0-9-]{2,64}+",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _HOST + r"[A-Za-z0-9-]{0,62}+",
     "number": r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20().\-/\[\]]{0,3}[0-9]){6,24}",
     "colon": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])",
 }
 #: Kinds that a generator's spans are proposed for.
 PROPOSES = {"mail": ("email",), "number": ("ip", "card", "phone"), "colon": ("ip",)}
-WORTH = r"[0-9@]|[\[({]\x20?(?:at|AT|At)\x20?[\])}]|\x20(?:dot|DOT)\x20"
+#: Holds in every text where a base pattern or a generator matches: these need a digit, an '@', _HOST, or letters between colons.
+WORTH = r"[0-9@]|[A-Fa-f](?::[A-Fa-f]{1,4}){2}:[A-Fa-f]|" + _HOST
 PRECISION = 0.98
 #: Log odds of 9 to 1: held-out cases are of the generators' kinds only, so the trees must be sure as well.
 LEAST = 2.2

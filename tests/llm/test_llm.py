@@ -253,6 +253,15 @@ def test_personal_data_adds_what_the_trees_select(spark, model):
     assert [[(personal_data.KINDS[s.k], texts[r.doc_id][s.s : s.e]) for s in r.spans] for r in rows] == [[("phone", "(415) 555-0199")], [("email", "john.doe [at] example [dot] com")], [("card", "4539.1488.0343.6467")], [], [("ip", "192[.]168[.]1[.]5")], []]
 
 
+def test_personal_data_prefilter_lets_every_candidate_through(spark, model):
+    texts = ["contact john at example [dot] com", "mail: john at example(dot)com", "contact john at example[dot]org", "write john at example.com now", "john aT example dOt com", "host ab:cd:ef:fa:de here"]
+    texts += [t for t, k, y in personal_data.samples(60, 5) if k == 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    assert personal_data.candidates(df, "t").where((F.size("candidates") > 0) & ~F.col("t").rlike(personal_data.WORTH)).count() == 0
+    found = {r.doc_id: r.spans for r in personal_data.redact_spans(df.withColumnRenamed("t", "text"), model).collect()}
+    assert [texts[0][x.s : x.e] for x in found[0]] == ["john at example [dot] com"]
+
+
 def test_personal_data_trees_hold_out(spark, model):
     rows = personal_data.samples(150, 99)
     got = {r.doc_id: r.spans for r in personal_data.redact_spans(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string"), model).collect()}
