@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 Base spans come from four fixed patterns. Beside them, high-recall generators propose overlapping candidate spans (numbers in
-any grouping, written-out or bracketed addresses, colon groups); each gets format features and features of the text around it, and
+any grouping, runs of whole groups inside them, written-out or bracketed addresses, colon groups); each gets format features and features of the text around it, and
 boosted trees, one ensemble for each kind, score it. The trees become nested conditional expressions over the features. A candidate
 is selected if its score reaches the kind's threshold, calibrated on a held-out part of the training texts to be right in
 PRECISION of the cases, and if it overlaps no base span; of selected candidates that overlap, the best scored one stays.
@@ -36,9 +36,21 @@ GENERATORS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _HOST + r"[A-Za-z0-9-]{0,62}+",
     "number": r"(?<![0-9A-Za-z])[(]?[0-9](?:[\x20().\-/\[\]]{0,3}[0-9]){6,24}",
     "colon": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])",
+    "chain": r"(?<![0-9A-Za-z])[(]?[0-9]++(?:[\x20().\-/\[\]]{1,3}[0-9]++)*+",
+}
+#: Kinds that a generator's spans are proposed for. Of a chain, which has no longest length, the spans of whole groups in PARTS are.
+PROPOSES = {"mail": ("email",), "number": ("ip", "card", "phone"), "colon": ("ip",), "chain": ("ip", "card", "phone")}
+#: No card or phone number is longer.
+MOST_DIGITS = {"card": 19, "phone": 15}
+#: Most groups of a span inside a chain.
+MOST_GROUPS = 6
+#: Which groups i to j of a chain x (v: its groups; g: what stands before each and after the last; d: digits in all) each kind takes.
+PARTS = {
+    # Four with plain dots only are the base pattern's.
+    "ip": "j = i + 3 AND " + " AND ".join([*(f"length(x.v[i + {n}]) <= 3" for n in range(4)), *(f"contains(x.g[i + {n}], '.')" for n in (1, 2, 3))]) + " AND concat(x.g[i + 1], x.g[i + 2], x.g[i + 3]) <> '...'",
+    "card": "d BETWEEN 13 AND 19",
+    "phone": "d BETWEEN 7 AND 15",
 }
-#: Kinds that a generator's spans are proposed for.
-PROPOSES = {"mail": ("email",), "number": ("ip", "card", "phone"), "colon": ("ip",)}
 #: Holds in every text where a base pattern or a generator matches: these need a digit, an '@', _HOST, or letters between colons.
 WORTH = r"[0-9@]|[A-Fa-f](?::[A-Fa-f]{1,4}){2}:[A-Fa-f]|" + _HOST
 PRECISION = 0.98
@@ -123,15 +135,46 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("base", F.array_sort(F.concat(*names))).drop(*names)
 
 
+def _parts(name: str) -> str:
+    """The chains in column `name` as spans of whole groups, overlapping, with the kind numbers (k) that each is proposed for."""
+    # A chain is cut after each 64 groups (n of them), each piece with the next groups behind it, as arrays grow by copying.
+    cut = f"(?:[^0-9]*[0-9]++){{1,64}}+)(?=((?:[^0-9]*[0-9]++){{0,{MOST_GROUPS - 1}}})"
+    pieces = f"""flatten(transform({name}, x -> aggregate(
+        zip_with(regexp_extract_all(x.m, '({cut})', 1), regexp_extract_all(x.m, '({cut})', 2), (h, t) -> named_struct('h', h, 't', t)),
+        named_struct('p', 0, 'o', cast(array() AS array<struct<m: string, n: int, s: int, b: string, a: string>>)),
+        (y, w) -> named_struct('p', y.p + length(w.h), 'o', concat(y.o, array(named_struct('m', concat(w.h, w.t), 'n', size(regexp_extract_all(w.h, '[0-9]+', 0)), 's', x.s + y.p,
+            'b', right(concat(x.b, substring(x.m, greatest(1, y.p - 23), least(y.p, 24))), 24), 'a', left(concat(substring(x.m, y.p + length(w.h) + length(w.t) + 1, 12), x.a), 12))))),
+        y -> y.o)))"""
+    # Groups with their ends (p) and the digits before each end (d); a group's start is its end less its length.
+    groups = f"""transform({pieces}, x -> named_struct('m', x.m, 'n', x.n, 's', x.s, 'b', x.b, 'a', x.a, 'v', regexp_extract_all(x.m, '[0-9]+', 0), 'g', split(x.m, '[0-9]+', -1)))"""
+    ends = f"""transform({groups}, x -> named_struct('m', x.m, 'n', x.n, 's', x.s, 'b', x.b, 'a', x.a, 'v', x.v, 'g', x.g, 'p', aggregate(
+        transform(x.v, (w, i) -> named_struct('w', length(w), 'g', length(x.g[i]))),
+        named_struct('p', 0, 'd', 0, 'o', cast(array() AS array<struct<p: int, d: int>>)),
+        (y, w) -> named_struct('p', y.p + w.g + w.w, 'd', y.d + w.w, 'o', concat(y.o, array(named_struct('p', y.p + w.g + w.w, 'd', y.d + w.w)))),
+        y -> y.o)))"""
+    kinds = ", ".join(f"CASE WHEN {rule.replace('d BETWEEN', 'x.p[j].d - x.p[i].d + length(x.v[i]) BETWEEN')} THEN {KINDS.index(kind)} END" for kind, rule in PARTS.items())
+    pairs = f"""flatten(transform(sequence(0, x.n - 1), i -> filter(transform(sequence(i, least(i + {MOST_GROUPS - 1}, size(x.v) - 1)), j -> named_struct(
+        's', x.p[i].p - length(x.v[i]), 'e', x.p[j].p, 'o', right(x.g[i], 1) = '(', 'k', filter(array({kinds}), k -> k IS NOT NULL))), q -> size(q.k) > 0)))"""
+    # A bracket before the first group belongs to a span that closes it; spans with other open ends are none.
+    opened = f"transform({pairs}, q -> named_struct('s', q.s - cast(q.o AND substring(x.m, q.s + 1, q.e - q.s) rlike '^[^(]*[)]' AS int), 'e', q.e, 'k', q.k))"
+    whole = f"filter({opened}, q -> NOT substring(x.m, q.s + 1, q.e - q.s) rlike '^[^(]*[)]|[(][^)]*$')"
+    return f"""flatten(transform({ends}, x -> transform({whole}, q -> named_struct('m', substring(x.m, q.s + 1, q.e - q.s), 's', x.s + q.s, 'e', x.s + q.e, 'k', q.k,
+        'b', right(concat(x.b, substring(x.m, greatest(1, q.s - 23), least(q.s, 24))), 24), 'a', left(concat(substring(x.m, q.e + 1, 12), x.a), 12)))))"""
+
+
 def candidates(df: DataFrame, text: str) -> DataFrame:
     """Adds `candidates`: array of the proposed spans with their kind number and features."""
     names = []
     for name, pattern in GENERATORS.items():
         df = _find(text, pattern, f"_{name}", df)
+        if name == "chain":
+            df = df.withColumn(f"_{name}", F.expr(_parts(f"_{name}")))
+        kinds = "x.k" if name == "chain" else f"array({', '.join(str(KINDS.index(k)) for k in PROPOSES[name])})"
         features = ", ".join(f"'{f}', {e}" for f, e in FEATURES.items())
-        rows = f"transform(_{name}, x -> named_struct('s', x.s, 'e', x.e, {features}))"
-        copies = ", ".join(f"transform(_{name}, x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e, {', '.join(f'{chr(39)}{f}{chr(39)}, x.{f}' for f in FEATURES)}))" for k in PROPOSES[name])
-        df = df.withColumn(f"_{name}", F.expr(rows)).withColumn(f"_{name}", F.expr(f"concat({copies})"))
+        rows = f"transform(_{name}, x -> named_struct('ks', {kinds}, 's', x.s, 'e', x.e, {features}))"
+        copies = f"flatten(transform(_{name}, x -> transform(x.ks, k -> named_struct('k', k, 's', x.s, 'e', x.e, {', '.join(f'{chr(39)}{f}{chr(39)}, x.{f}' for f in FEATURES)}))))"
+        fits = f"filter(_{name}, x -> NOT coalesce(CASE x.k {' '.join(f'WHEN {KINDS.index(k)} THEN x.digits > {most}' for k, most in MOST_DIGITS.items())} END, false))"
+        df = df.withColumn(f"_{name}", F.expr(rows)).withColumn(f"_{name}", F.expr(copies)).withColumn(f"_{name}", F.expr(fits))
         names.append(f"_{name}")
     return df.withColumn("candidates", F.concat(*names)).drop(*names)
 
@@ -141,6 +184,11 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
 
 def samples(n: int, seed: int) -> list[tuple[str, int, int]]:
     """(text, kind number, label): generated texts around one candidate each."""
+    return [case[:3] for case in spanned_samples(n, seed)]
+
+
+def spanned_samples(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """The samples with the start and end of the candidate that the label is for."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda: "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(2, 9)))
@@ -185,7 +233,7 @@ def samples(n: int, seed: int) -> list[tuple[str, int, int]]:
         lambda: (say(w(), w(), *card_words), fours(luhn(16, True), r.choice([".", "/"]))),
         lambda: (say(*card_words), luhn(13, True)),
     ]
-    ip = [lambda: (say(*ip_words, w(), w()), r.choice(["[.]", "(.)", " . ", ". "]).join(octet() for _ in range(4)))]
+    ip = [lambda: (say(*ip_words, w(), w()), r.choice(["[.]", "(.)", " . ", ". "]).join(octet() for _ in range(4))), lambda: (say(*ip_words, w(), w()), r.choice(["[.]", "(.)"]).join(r.choice([d(1), octet()]) for _ in range(4)))]
     ip6 = [lambda: (say(*ip_words, w(), w()), ":".join(f"{r.randint(256, 65535):x}" for _ in range(8)))]
     colon = [
         lambda: (say(*other), ":".join(f"{r.randint(16, 255):02x}" for _ in range(6))),
@@ -211,7 +259,8 @@ def samples(n: int, seed: int) -> list[tuple[str, int, int]]:
             label = i % 2
             before, what = r.choice(yes if label else no)()
             glue = r.random() < 0.1 and not label
-            cases.append((f"{w()} {w()} {before}{w() + '=' if glue else ''}{what}{r.choice([' ', '. ', ', ', ''])}{w() if glue else ''} {w()}.", k, label))
+            lead = f"{w()} {w()} {before}{w() + '=' if glue else ''}"
+            cases.append((f"{lead}{what}{r.choice([' ', '. ', ', ', ''])}{w() if glue else ''} {w()}.", k, label, len(lead), len(lead) + len(what)))
     return cases
 
 
@@ -267,15 +316,18 @@ def threshold(score: np.ndarray, y: np.ndarray) -> float:
 
 def fit(spark: SparkSession, per_kind: int = 600, seed: int = 11) -> dict[int, tuple[list, float]]:
     """For each kind number its trees and threshold."""
-    rows = samples(per_kind, seed)
-    df = candidates(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "i int, t string"), "t")
-    got = df.select("i", F.explode("candidates").alias("c")).select("i", "c.k", *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]).orderBy("i", "k", *FEATURES).toPandas()
-    kind, label = np.array([k for _, k, _ in rows]), np.array([y for *_, y in rows], float)
+    rows = spanned_samples(per_kind, seed)
+    df = candidates(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "i int, t string"), "t")
+    got = df.select("i", F.explode("candidates").alias("c")).select("i", "c.k", "c.s", "c.e", *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]).distinct().orderBy("i", "k", "s", "e", *FEATURES).toPandas()
+    kind = np.array([k for _, k, *_ in rows])
     got = got[got["k"].to_numpy() == kind[got["i"]]]
+    # A span beside or inside the true one is a wrong one.
+    true = np.array([x[2:] for x in rows])[got["i"]]
+    got["label"] = ((true[:, 0] == 1) & (true[:, 1] == got["s"]) & (true[:, 2] == got["e"])).astype(float)
     out = {}
     for k in range(len(KINDS)):
         own = got[got["k"] == k]
-        x, y, held = own[list(FEATURES)].to_numpy(float), label[own["i"]], own["i"].to_numpy() // 2 % 3 == 0
+        x, y, held = own[list(FEATURES)].to_numpy(float), own["label"].to_numpy(), own["i"].to_numpy() // 2 % 3 == 0
         trees = boost(x[~held], y[~held])
         out[k] = (trees, threshold(predict(trees, x[held]), y[held]))
     return out
@@ -296,8 +348,10 @@ def redact_spans(docs: DataFrame, model: dict[int, tuple[list, float]]) -> DataF
     margin = "CASE c.k " + " ".join(f"WHEN {k} THEN {score_sql(trees)} - ({least!r}D)" for k, (trees, least) in sorted(able.items())) + " ELSE -1D END" if able else "-1D"
     free = "filter(candidates, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e))"
     df = df.withColumn("free", F.expr(free)).withColumn("free", F.expr(f"filter(transform(free, c -> named_struct('v', {margin}, 's', c.s, 'k', c.k, 'e', c.e)), c -> c.v >= 0)"))
-    best = "filter(free, c -> NOT exists(free, o -> o.s < c.e AND c.s < o.e AND (o.v > c.v OR o.v = c.v AND struct(o.s, o.e, o.k) < struct(c.s, c.e, c.k))))"
-    return df.withColumn("spans", F.array_sort(F.concat("base", F.expr(f"transform({best}, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))")))).select("doc_id", "base", "spans")
+    # By score, then the earliest, then the longest; each that overlaps none taken before it.
+    order = "transform(array_sort(transform(free, c -> named_struct('v', -c.v, 's', c.s, 'l', -c.e, 'k', c.k))), c -> named_struct('s', c.s, 'k', c.k, 'e', -c.l))"
+    best = f"aggregate({order}, cast(array() AS array<struct<s: int, k: int, e: int>>), (y, c) -> CASE WHEN exists(y, o -> o.s < c.e AND c.s < o.e) THEN y ELSE concat(y, array(c)) END)"
+    return df.withColumn("spans", F.array_sort(F.concat("base", F.expr(best)))).select("doc_id", "base", "spans")
 
 
 def _joined(spans: str) -> Column:

@@ -262,6 +262,21 @@ def test_personal_data_prefilter_lets_every_candidate_through(spark, model):
     assert [texts[0][x.s : x.e] for x in found[0]] == ["john at example [dot] com"]
 
 
+def test_personal_data_proposes_neighbours_alone(spark, model):
+    cases = [
+        ("x (555) 123-4567 (555) 987-6543 y", ["(555) 123-4567", "(555) 987-6543"]), ("x 2024-01-02 555-123-4567 y", ["555-123-4567"]), ("x 555-123-4567. 555-987-6543 y", ["555-123-4567", "555-987-6543"]),
+        ("x 555-123-4567 555-987-6543 555-222-3333 y", ["555-222-3333"]), ("x 8[.]8[.]8[.]8 y", ["8[.]8[.]8[.]8"]), ("x 10[.]0[.]0[.]1 y", ["10[.]0[.]0[.]1"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, t string")
+    for r in personal_data.candidates(df, "t").select("doc_id", "t", "candidates.k", "candidates.s", "candidates.e", "candidates.digits").collect():
+        kind = 1 if r.doc_id > 3 else 3
+        assert set(cases[r.doc_id][1]) <= {r.t[s:e] for k, s, e in zip(r.k, r.s, r.e, strict=True) if k == kind}
+        assert all(d == sum(map(str.isdigit, r.t[s:e])) for s, e, d in zip(r.s, r.e, r.digits, strict=True))
+    texts = ["a call (555) 123-4567 (555) 987-6543 b", "host 8[.]8[.]8[.]8 is"]
+    got = personal_data.redact_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [[texts[r.doc_id][x.s : x.e] for x in r.spans] for r in got] == [["(555) 123-4567", "(555) 987-6543"], ["8[.]8[.]8[.]8"]]
+
+
 def test_personal_data_trees_hold_out(spark, model):
     rows = personal_data.samples(150, 99)
     got = {r.doc_id: r.spans for r in personal_data.redact_spans(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string"), model).collect()}
