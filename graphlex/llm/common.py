@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import pickle
 import sys
 import tempfile
-import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,12 +26,56 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the session names; where none is named (tests), in one of our own."""
-    sc = df.sparkSession.sparkContext
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the columns `used` and one more, `extra`, that holds all others, so that their names can't clash with an operator's own."""
+    rest = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("extra"))
+
+
+def back(column: str, *used: str) -> Column:
+    """The column again, of a table that aside() has made."""
+    return F.col(column) if column in used else F.col("extra").getField(column).alias(column)
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; where none is named, on a local master only, one of our own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="graphlex-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphlex-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(named)
+    return named
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries planned meanwhile remove their shuffle files when they end; what they wrote stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    folder(df.sparkSession)
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared folder and read again: smaller than a checkpoint, and read by column."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -40,20 +85,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced now, not at the driver's next full collection."""
-    gc.collect()
-    spark.range(8).groupBy((F.col("id") % 2).alias("k")).count().collect()  # the threads that planned the last query hold on to it until they plan another
-    client = spark.sparkContext._gateway._gateway_client
-    for _ in range(100):  # Python tells the JVM bit by bit which objects it has dropped
-        time.sleep(0.1)
-        if not getattr(client, "finalizer_deque", ()):
-            break
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def worker_memo() -> dict:
     """A dict that lives as long as the Python worker; functions travel by value, so module globals live for one task only."""
     return sys.__dict__.setdefault("_graphlex_memo", {})

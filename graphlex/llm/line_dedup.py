@@ -4,63 +4,76 @@ A line is the set of its words. Equal lines are first reduced to one row each. W
 Jaccard similarity of at least num/den then share a word among the rarest n - ceil(n * num/den) + 1 of each (prefix filter).
 Lines that share such a word stay candidates of each other if their sizes (length filter), the words that may still follow
 (positional filter) and the parity bitmaps of their words (their symmetric difference has at least as many words as the bitmaps
-differ in bits) allow the similarity. A first semi join finds the lines with any candidate; it yields each line once. Each of these is
-then compared with the earliest line of every prefix word it has, which settles groups of copies without their pairs; only lines
-that are still unsettled are paired with all earlier candidates. Every pair is verified by its exact Jaccard similarity.
+differ in bits) allow the similarity. A first semi join keeps the prefix words by which a line has any candidate; it yields each
+line and word once. Each such line is then compared with the earliest line of every such word, which settles groups of copies
+without their pairs; only lines that are still unsettled are paired with all earlier candidates. Every pair is verified by its
+exact Jaccard similarity.
 
 Result: a line goes if an earlier line is equal or similar, whether or not that one stays itself. Earlier: by id (null first), then
 by a hash of the text, then by line number. Lines without a word and lines with fewer than `min_words` different words stay.
-Null texts stay null and empty ones empty. Rows equal in id and text are one document and each give the same row. Words stand
-as 64-bit keys (16 bits of frequency, 47 of hash), lines as 128-bit hashes. Extra columns are kept.
+Null texts stay null and empty ones empty; a text of any length is read whole. Rows equal in id and text are one document and each
+give the same row. An empty table gives an empty one. Words stand as 64-bit hashes (in the order by rarity as 7 bits of frequency
+and 57 of hash), lines as 128-bit hashes. Extra columns are kept, whatever their names, but for those that the result gives
+its own two columns.
+
+What a phase finds is written to the shared checkpoint folder, so a lost executor costs no earlier phase, and the shuffle files
+of a finished phase are removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, table
+from .common import aside, back, stored, table
 
 #: White space of words beside \n, for trim().
 TRIM = r"' \t\n\r\u000B\u000C'"
+#: Cells of word frequencies, as a power of two.
 SKETCH_BITS = 18
-POSITION = ("doc_id", "text_hash", "line_no")
+#: Bits of the map-side filter before lines are moved, as a power of two.
+FILTER_BITS = 23
+POSITION = ("d", "text_hash", "line_no")
+AT_FIRST = " AND ".join(f"{c} = first_{c}" for c in POSITION)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line, k, k2 of each line that has a word."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """d (doc_id, null as the smallest long), text_hash, line_no, line, k, k2 of each line that has a word."""
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    hashed = docs.select(d.alias("d"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("x"))  # once a text, not once a line
+    lines = hashed.select("d", "text_hash", F.posexplode("x").alias("line_no", "line"))
     some = lines.where(F.expr(f"btrim(line, {TRIM}) <> ''"))
     return some.withColumn("k", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """One row, one array: how often the words of each of 2 ^ SKETCH_BITS hash cells occur in all texts, as the upper bits of a word's key."""
+    """One row, one array: the upper 7 bits of the keys of the words in each of 2 ^ SKETCH_BITS hash cells.
+
+    They are 3 * log2 of how often the cell's words occur in all texts, so that they order counts up to 2 ^ 42.
+    """
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     cells = words.groupBy(F.expr(f"shiftrightunsigned(xxhash64(w), {64 - SKETCH_BITS})").alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
     dense = cells.union(every).groupBy("cell").agg(F.sum("n").alias("n"))
-    return dense.agg(F.expr("transform(sort_array(collect_list(struct(cell, n))), x -> shiftleft(least(x.n, 65535L), 47))").alias("sketch"))
-
+    level = "shiftleft(cast(least(3 * log2(x.n + 1), 127) AS bigint) - 64, 57)"  # 64 less, so that signed order is their order
+    return dense.agg(F.expr(f"transform(sort_array(collect_list(struct(cell, n))), x -> {level})").alias("sketch"))
 
-def _parity(shift: int) -> str:
-    """A bitmap of 64 bits that each word of s flips one of."""
-    return f"aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, {shift}) & 63 AS int)))"
 
-
-def _with_words(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """Adds s (the keys of the line's words, rarest first), n (their number), p (prefix length, 0 if n < min_words), sig and sig2 (parity bitmaps)."""
+def _hashes() -> Column:
+    """The different words of a line, as hashes."""
     other = " OR ".join(f"contains(line, {c})" for c in (r"'\t'", r"'\r'", r"'\u000B'", r"'\u000C'"))
     blank = F.expr(rf"CASE WHEN {other} THEN translate(line, '\t\r\u000B\u000C', '    ') ELSE line END")
-    hashes = lines.withColumn("h", F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))).withColumn("sketch", sketch.scalar())
-    keyed = hashes.withColumn("s", F.sort_array(F.expr(f"transform(h, x -> coalesce(sketch[shiftrightunsigned(x, {64 - SKETCH_BITS})], 0L) | (x & {(1 << 47) - 1}L))"))).drop("h", "sketch", "line")
-    n = keyed.withColumn("n", F.size("s"))
-    return n.withColumn("p", F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")).withColumn("sig", F.expr(_parity(0))).withColumn("sig2", F.expr(_parity(6)))
+    return F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _prefixes(lines: DataFrame, *extra: str) -> DataFrame:
-    """A row for each line and word of its prefix."""
-    return lines.select("k", "n", "sig", *extra, F.posexplode(F.expr("slice(s, 1, cast(p AS int))")).alias("i", "word"))
+def _with_prefix(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
+    """Adds n (the number of the line's words), sig (a bitmap of 64 bits that each word flips one of) and prefix (its rarest words' keys, rarest first; none if n < min_words) in place of line."""
+    hashed = lines.withColumn("h", _hashes()).drop("line").withColumn("sketch", sketch.scalar())
+    key = f"get(sketch, cast(shiftrightunsigned(x, {64 - SKETCH_BITS}) AS int)) | (x & {(1 << 57) - 1}L)"
+    keyed = hashed.withColumn("s", F.sort_array(F.expr(f"transform(h, x -> {key})"))).withColumn("n", F.size("s"))
+    sig = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))")
+    p = F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")
+    return keyed.withColumn("sig", sig).withColumn("prefix", F.slice("s", F.lit(1), p.cast("int"))).drop("h", "s", "sketch")
 
 
 def _may(num: int, den: int) -> str:
@@ -75,64 +88,60 @@ def _may(num: int, den: int) -> str:
         AND bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}"""
 
 
-def _may_still(num: int, den: int) -> str:
-    """The bitmap filter once more, with the second bitmap; lines that came this far are few enough to carry it."""
-    return f"bit_count(a.sig2 ^ b.sig2) <= a.n + b.n - 2 * (({num} * (a.n + b.n) + {num + den - 1}) div {num + den})"
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose k is among the keys, and a few more: a map-side filter of fixed size; what it lets through is joined exactly later."""
+    low = FILTER_BITS - 6
+    cells = keys.groupBy(F.expr(f"k & {(1 << low) - 1}").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {low}) & 63 AS int))")).alias("bits"))
+    every = rows.sparkSession.range(1 << low).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bits"))
+    dense = cells.union(every).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    known = stored(dense.agg(F.expr("transform(sort_array(collect_list(struct(cell, bits))), x -> x.bits)").alias("known")))
+    word = F.get(known.scalar(), F.expr(f"cast(k & {(1 << low) - 1} AS int)"))
+    return rows.where(F.getbit(word, F.expr(f"cast(shiftrightunsigned(k, {low}) & 63 AS int)")) == 1)
 
 
 def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (k, other) the distinct k that are later than their other and similar to it."""
-    a, b = words.select("k", "n", "s", "at"), words.select(F.col("k").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("at").alias("before"))
-    same = f"before < at AND size(array_intersect(s, t)) * {num + den} >= {num} * (n + m)"
-    return pairs.distinct().join(a, "k").join(b, "other").where(same).select("k").distinct()
-
-
-def _candidates(docs: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """For each different line: k, k2, its first position, near (whether it has any candidate), and the text of such lines; checkpointed."""
-    first = F.min(F.struct(*POSITION, "k2", "line"))
-    distinct = _lines(docs).groupBy("k").agg(first.alias("f")).select("k", "f.*")
-    rows = _prefixes(_with_words(distinct.select("k", "line"), sketch, num, den, min_words))
-    near = rows.alias("a").join(rows.alias("b"), F.expr(f"a.word = b.word AND {_may(num, den)}"), "left_semi").select("k").distinct()
-    every = distinct.join(near.withColumn("near", F.lit(True)), "k", "left")
-    return cut(every.withColumn("line", F.when(F.col("near"), F.col("line"))).withColumn("near", F.col("near").isNotNull()))
+    """Of different pairs (k, other) the distinct k that are similar to their other."""
+    a, b = words.select("k", F.col("h").alias("s")), words.select(F.col("k").alias("other"), F.col("h").alias("t"))
+    same = f"size(array_intersect(s, t)) * {num + den} >= {num} * (size(s) + size(t))"
+    return pairs.join(a, "k").join(b, "other").where(same).select("k").distinct()
 
 
 def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
-    """For each different line: k, k2, its first position, and whether an earlier line is similar."""
-    may = f"{_may(num, den)} AND {_may_still(num, den)}"
-    sketch = cut(_sketch(docs))
-    every = _candidates(docs, sketch, num, den, min_words)
-    release(docs.sparkSession)  # of the largest shuffles, before the next ones
-    at = F.struct(*POSITION).alias("at")
-    # Kept by k, so that verifying moves pairs, not words; a lost part is computed again from the checkpoint.
-    words = _with_words(every.where("near").select("k", at, "line").repartition("k"), sketch, num, den, min_words).persist()
-    again = _prefixes(words.withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "sig2", "d")
-    own = F.min(F.struct("d", "k", "n", "sig", "sig2", "i")).over(Window.partitionBy("word"))
-    first = again.withColumn("b", own).select(F.struct("k", "n", "sig", "sig2", "i").alias("a"), "b")
-    settled = _verified(first.where(may).select("a.k", F.col("b.k").alias("other")), words, num, den).persist()
-    rest = _prefixes(words.join(settled, "k", "left_anti").withColumn("d", F.coalesce("at.doc_id", F.lit(-(1 << 63)))), "sig2", "d")
-    late = _verified(rest.alias("a").join(again.alias("b"), F.expr(f"a.word = b.word AND b.d <= a.d AND {may}")).select("a.k", F.col("b.k").alias("other")), words, num, den)
-    similar = cut(settled.unionByName(late).withColumn("similar", F.lit(True)))
-    settled.unpersist()
-    words.unpersist()
-    return every.drop("line", "near").join(similar, "k", "left").withColumn("similar", F.col("similar").isNotNull())
-
-
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
-    """docs with its columns, text without the lines that go, and the columns n_lines and n_removed."""
-    found = verdicts(docs, num, den, min_words)
-    release(docs.sparkSession)
-    seen = found.select(F.col("k"), F.col("k2").alias("own"), *[F.col(c).alias(f"first_{c}") for c in POSITION], "similar")
-    lines = _lines(docs).drop("line").join(seen, "k")
-    at_first = F.expr(" AND ".join(f"{c} <=> first_{c}" for c in POSITION))
-    gone = lines.where((F.col("k2") == F.col("own")) & (F.col("similar") | ~at_first))
-    lists = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", F.xxhash64("text"))
-    found = own.join(lists, own["__id"].eqNullSafe(lists["__id"]) & (own["__key"] == lists["__hash"]), "left")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(__gone, i)), '\\n')"))
+    """For each different line: k, k2, its first position, how often it occurs, and whether an earlier line is similar."""
+    sketch = stored(_sketch(docs))
+    rows = _with_prefix(_lines(docs), sketch, num, den, min_words)
+    first = F.min(F.struct(*POSITION, "k2", "n", "sig", "prefix")).alias("f")
+    every = stored(rows.groupBy("k").agg(first, F.count("*").alias("times")).select("k", "f.*", "times"))
+    prefixes = every.select("k", "n", "sig", F.posexplode("prefix").alias("i", "word"))
+    hits = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr(f"a.word = b.word AND {_may(num, den)}"), "left_semi"))
+    near = stored(every.select("k", *POSITION).join(hits.select("k").distinct(), "k", "left_semi"))
+    texts = _maybe(_lines(docs), near).join(near.withColumnsRenamed({c: f"first_{c}" for c in POSITION}), "k").where(AT_FIRST)
+    words = stored(texts.dropDuplicates(["k"]).select("k", _hashes().alias("h")))
+    placed = stored(hits.join(near.select("k", F.struct(*POSITION).alias("at")), "k"))
+    may = f"b.at < a.at AND {_may(num, den)}"
+    least = placed.groupBy("word").agg(F.min(F.struct("at", "k", "n", "sig", "i")).alias("b"))
+    leaders = stored(placed.select("word", F.struct("k", "at", "n", "sig", "i").alias("a")).join(least, "word").where(may).select("a.k", F.col("b.k").alias("other")).distinct())
+    settled = stored(_verified(leaders, words, num, den))
+    rest = placed.join(settled, "k", "left_anti").alias("a").join(placed.alias("b"), F.expr(f"a.word = b.word AND {may}")).select("a.k", F.col("b.k").alias("other")).distinct()
+    late = stored(_verified(rest.join(leaders, ["k", "other"], "left_anti"), words, num, den))
+    similar = settled.unionByName(late).withColumn("similar", F.lit(True))
+    return every.select("k", "k2", *POSITION, "times").join(similar, "k", "left").withColumn("similar", F.col("similar").isNotNull())
+
+
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with its columns, text without the lines that go, and two columns `names` (in place of ones of these names): the text's lines, and how many went."""
+    thin = docs.select("doc_id", "text")
+    found = verdicts(thin, num, den, min_words).where("similar OR times > 1")
+    seen = stored(found.select("k", F.col("k2").alias("own"), *[F.col(c).alias(f"first_{c}") for c in POSITION], "similar"))
+    lines = _maybe(_lines(thin).drop("line"), seen).join(seen, "k")
+    gone = lines.where((F.col("k2") == F.col("own")) & (F.col("similar") | ~F.expr(AT_FIRST)))
+    lists = stored(gone.groupBy("d", "text_hash").agg(F.collect_set("line_no").alias("gone")))
+    here = aside(docs, "doc_id", "text").withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("text_hash", F.xxhash64("text"))
+    both = here.join(lists, ["d", "text_hash"], "left")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(gone, i)), '\\n')"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return found.drop(lists["__id"]).select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    counts = [n_lines.cast("long").alias(names[0]), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(names[1])]
+    return both.select(*[kept.alias(c) if c == "text" else back(c, "doc_id") for c in docs.columns if c not in names], *counts)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
