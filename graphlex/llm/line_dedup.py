@@ -6,8 +6,8 @@ Lines that share such a word stay candidates of each other if their sizes (lengt
 (positional filter) and the parity bitmaps of their words (their symmetric difference has at least as many words as the bitmaps
 differ in bits) allow the similarity. A first semi join keeps the prefix words by which a line has any candidate; it yields each
 line and word once. Each such line is then compared with the earliest line of every such word, which settles groups of copies
-without their pairs; only lines that are still unsettled are paired with all earlier candidates. Every pair is verified by its
-exact Jaccard similarity.
+without their pairs; only lines that are still unsettled are paired with all earlier candidates. Pairs whose prefixes have enough
+words in common are verified by their exact Jaccard similarity.
 
 Result: a line goes if an earlier line is equal or similar, whether or not that one stays itself. Earlier: by id (null first), then
 by a hash of the text, then by line number. Lines without a word and lines with fewer than `min_words` different words stay.
@@ -76,18 +76,34 @@ def _with_prefix(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_wo
     return keyed.withColumn("sig", sig).withColumn("prefix", F.slice("s", F.lit(1), p.cast("int"))).drop("h", "s", "sketch")
 
 
+def _need(num: int, den: int) -> str:
+    """Common words that make the similarity of aliases a and b."""
+    return f"(({num} * (a.n + b.n) + {num + den - 1}) div {num + den})"
+
+
 def _may(num: int, den: int) -> str:
-    """Prefix, length, positional and bitmap filters on aliases a and b; `need` common words make the similarity.
+    """Length, positional and bitmap filters on aliases a and b, which share the words i of their prefixes.
 
     The first common word of a similar pair has `need` words or more from its place on in both lines.
     """
-    need = f"(({num} * (a.n + b.n) + {num + den - 1}) div {num + den})"
+    need = _need(num, den)
     return f"""a.k <> b.k AND b.n * {den} >= a.n * {num} AND a.n * {den} >= b.n * {num}
         AND a.n - a.i >= {need} AND b.n - b.i >= {need}
         AND least(a.i, b.i) + least(a.n - a.i, b.n - b.i) >= {need}
         AND bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}"""
 
 
+def _may_still(num: int, den: int) -> str:
+    """A filter by the whole prefixes, for the lines that come this far.
+
+    Of the two prefixes, the words of the one that ends first in the order are in the other one or not in the other line, which misses
+    n - need words of it at most.
+    """
+    end = "(({} * {}.n + {}) div {})"
+    least = f"{_need(num, den)} + 1 - greatest({end.format(num, 'a', den - 1, den)}, {end.format(num, 'b', den - 1, den)})"
+    return f"size(array_intersect(a.prefix, b.prefix)) >= {least}"
+
+
 def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows whose k is among the keys, and a few more: a map-side filter of fixed size; what it lets through is joined exactly later."""
     low = FILTER_BITS - 6
@@ -114,16 +130,20 @@ def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) ->
     every = stored(rows.groupBy("k").agg(first, F.count("*").alias("times")).select("k", "f.*", "times"))
     prefixes = every.select("k", "n", "sig", F.posexplode("prefix").alias("i", "word"))
     hits = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr(f"a.word = b.word AND {_may(num, den)}"), "left_semi"))
-    near = stored(every.select("k", *POSITION).join(hits.select("k").distinct(), "k", "left_semi"))
-    texts = _maybe(_lines(docs), near).join(near.withColumnsRenamed({c: f"first_{c}" for c in POSITION}), "k").where(AT_FIRST)
+    place = F.struct(*POSITION).alias("at")
+    placed = stored(hits.join(every.select("k", place, "prefix"), "k"))
+    near = placed.groupBy("k").agg(F.min("at").alias("at"))
+    texts = _maybe(_lines(docs), placed).withColumn("own", place).join(near, "k").where("own = at")
     words = stored(texts.dropDuplicates(["k"]).select("k", _hashes().alias("h")))
-    placed = stored(hits.join(near.select("k", F.struct(*POSITION).alias("at")), "k"))
     may = f"b.at < a.at AND {_may(num, den)}"
-    least = placed.groupBy("word").agg(F.min(F.struct("at", "k", "n", "sig", "i")).alias("b"))
-    leaders = stored(placed.select("word", F.struct("k", "at", "n", "sig", "i").alias("a")).join(least, "word").where(may).select("a.k", F.col("b.k").alias("other")).distinct())
+    line = F.struct("at", "k", "n", "sig", "i")
+    least = placed.groupBy("word").agg(F.min(line).alias("b"))
+    leaders = stored(placed.select("word", line.alias("a")).join(least, "word").where(may).select("a.k", F.col("b.k").alias("other")).distinct())
     settled = stored(_verified(leaders, words, num, den))
-    rest = placed.join(settled, "k", "left_anti").alias("a").join(placed.alias("b"), F.expr(f"a.word = b.word AND {may}")).select("a.k", F.col("b.k").alias("other")).distinct()
-    late = stored(_verified(rest.join(leaders, ["k", "other"], "left_anti"), words, num, den))
+    line = F.struct("at", "k", "n", "sig", "i", "prefix")
+    rest = placed.join(settled, "k", "left_anti").select("word", line.alias("a")).join(placed.select("word", line.alias("b")), "word")
+    pairs = stored(rest.where(f"{may} AND {_may_still(num, den)}").select("a.k", F.col("b.k").alias("other")).distinct())
+    late = stored(_verified(pairs.join(leaders, ["k", "other"], "left_anti"), words, num, den))
     similar = settled.unionByName(late).withColumn("similar", F.lit(True))
     return every.select("k", "k2", *POSITION, "times").join(similar, "k", "left").withColumn("similar", F.col("similar").isNotNull())
 
@@ -132,10 +152,10 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2,
     """docs with its columns, text without the lines that go, and two columns `names` (in place of ones of these names): the text's lines, and how many went."""
     thin = docs.select("doc_id", "text")
     found = verdicts(thin, num, den, min_words).where("similar OR times > 1")
-    seen = stored(found.select("k", F.col("k2").alias("own"), *[F.col(c).alias(f"first_{c}") for c in POSITION], "similar"))
-    lines = _maybe(_lines(thin).drop("line"), seen).join(seen, "k")
+    seen = found.select("k", F.col("k2").alias("own"), *[F.col(c).alias(f"first_{c}") for c in POSITION], "similar")
+    lines = _lines(thin).drop("line").join(seen, "k")
     gone = lines.where((F.col("k2") == F.col("own")) & (F.col("similar") | ~F.expr(AT_FIRST)))
-    lists = stored(gone.groupBy("d", "text_hash").agg(F.collect_set("line_no").alias("gone")))
+    lists = gone.groupBy("d", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     here = aside(docs, "doc_id", "text").withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("text_hash", F.xxhash64("text"))
     both = here.join(lists, ["d", "text_hash"], "left")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(gone, i)), '\\n')"))
