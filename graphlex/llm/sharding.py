@@ -5,8 +5,8 @@ size; a group that alone is large against a shard is a cell of its own, and one
 pieces. Cells are placed largest first, each into the shard where the dot product of its share of bytes, tokens and rows with
 the shard's free capacity is highest. Only numbers are shuffled, never texts.
 
-Law `bytes`: the shards' sizes are near equal. Null texts are empty (size 1). Ties go by id, then text. Rows with equal ids
-and texts each have a slot. An empty table gives an empty result.
+Law `bytes`: the shards' sizes are near equal. Null texts are empty (size 1). Ties go by id, then text, then place in the input. Rows with equal ids
+and texts each have a slot; pieces of a large group are dealt by row, so they are near equal whatever its ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ def shard(docs: DataFrame, shards: int = 16, cells: int = 8192, split_above: flo
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("same"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
+            F.monotonically_increasing_id().alias("row"),  # fixed by the checkpoint
         )
     ).withColumn("cell", F.pmod("same", F.lit(cells)))
     sums = [F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")]
@@ -61,7 +62,7 @@ def shard(docs: DataFrame, shards: int = 16, cells: int = 8192, split_above: flo
         large = [(r.same, r.text_crc32, r.own, cells + 4096 * k, int(np.ceil(r.over)) * 2) for k, r in enumerate(groups.orderBy("same", "text_crc32", "own").collect())]
     if large:
         pieces = F.broadcast(spark.createDataFrame(large, "same long, text_crc32 long, size long, base long, n_pieces long"))
-        own = F.when(F.col("base").isNotNull(), F.col("base") + F.pmod(F.xxhash64("doc_id"), F.col("n_pieces"))).otherwise(F.col("cell"))
+        own = F.when(F.col("base").isNotNull(), F.col("base") + F.pmod(F.xxhash64("row"), F.col("n_pieces"))).otherwise(F.col("cell"))
         thin = thin.join(pieces, ["same", "text_crc32", "size"], "left").withColumn("cell", own)
     rows = sorted(thin.groupBy("cell").agg(*sums).collect())
     at = place(np.array([[r[d] for d in DIMENSIONS] for r in rows], float).reshape(-1, 3), shards)
@@ -70,7 +71,7 @@ def shard(docs: DataFrame, shards: int = 16, cells: int = 8192, split_above: flo
         offsets.append((r.cell, int(s), used[s]))
         used[s] += r.n_rows
     where = F.broadcast(spark.createDataFrame(offsets, "cell long, shard int, before long"))
-    in_cell = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "same"))
+    in_cell = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "same", "row"))
     return thin.join(where, "cell").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + in_cell - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
