@@ -8,7 +8,8 @@ search starts at the smallest room that suffices and goes on to its successors u
 source nor its cluster. So no sequence mixes two documents of one source or two copies.
 
 Clusters are equal texts unless the caller names a column. Null sources and null clusters conflict with nothing. Null texts
-are empty: one separator. Ties go by id, then cluster, then source; repeated rows are packed one by one. Empty tables give
+are empty: one separator. Ties go by id, then cluster, then source; repeated rows are packed one by one, and
+where they are many, spread over the parts. Empty tables give
 empty results.
 """
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import cut, table, text_of
 
 SCHEMA = "doc_id long, piece long, start long, length long, bin long, offset long"
 
@@ -80,9 +81,14 @@ def best_fit(docs: DataFrame, capacity: int = 8192, n_tokens: Column | None = No
     text = text_of(docs)
     n = F.octet_length(text) + 1 if n_tokens is None else n_tokens
     same = F.xxhash64(text) if cluster is None else cluster
-    parts = max(1, -(-docs.count() // rows_per_part))
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("cluster"), n.cast("long").alias("n"))
-    dealt = thin.where("n > 0").withColumn("part", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(parts)))
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("cluster"), n.cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+    thin = cut(thin.where("n > 0"))  # numbers and sources only; fixes the rows' numbers
+    parts = max(1, -(-thin.count() // rows_per_part))
+    key = ("doc_id", "cluster", "n")
+    often = thin.groupBy(*key).count().where(F.col("count") > max(1, rows_per_part // 16)).select(*[F.col(c).alias(f"{c}_") for c in key])
+    dealt = thin.join(often, [thin[c].eqNullSafe(often[f"{c}_"]) for c in key], "left")
+    salt = F.when(F.col("n_").isNotNull(), F.col("row"))  # rows that repeat often go to all parts, others by what they hold
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*key, salt), F.lit(parts))).drop(*[f"{c}_" for c in key], "row")
     return dealt.groupBy("part").applyInPandas(_packer(capacity), SCHEMA)
 
 
