@@ -58,6 +58,14 @@ def seeds(ids: np.ndarray, mask: tuple) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def before(at: np.ndarray, h: np.ndarray, none: int) -> np.ndarray:
+    """The hash at the position just before each, `none` where there is none."""
+    out = np.full(len(h), none, np.uint64)
+    next_to = np.flatnonzero(at[1:] == at[:-1] + 1)
+    out[next_to + 1] = h[next_to]
+    return out
+
+
 def short_masks(n: int) -> set[tuple]:
     """Masks of an item of n tokens, SHORT at most: of five parts as many are left out as tokens may differ, so one mask misses every difference."""
     parts = [tuple(map(int, x)) for x in np.array_split(np.arange(n), 5)]
@@ -93,33 +101,44 @@ class Block:
             for j, (_, x) in enumerate(self.items):
                 if mask in MASKS or len(x) in own[mask]:
                     p, h = seeds(x, mask)
-                    at.append((h, np.full(len(p), j, np.int64), p))
-        h, self.item, self.at = (np.concatenate(c) for c in zip(*at, strict=True)) if at else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    at.append((h, np.full(len(p), j, np.int64), p, before(p, h, 0)))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        h, item, p, q = (np.concatenate(c) for c in zip(*at, strict=True)) if at else none
         order = np.argsort(h, kind="stable")
-        self.hashes, self.item, self.at = h[order], self.item[order], self.at[order]
+        self.hashes, self.item, self.at, self.before = h[order], item[order], p[order], q[order]
+
+    def search(self, text: str | None, one: bool = False) -> list[tuple]:
+        """(item_id, n_overlap, n_equal, start, item_start), one for each item found, or (one) just the first found.
 
-    def search(self, text: str | None) -> list[tuple]:
-        """(item_id, n_overlap, n_equal, start, item_start), one for each item found."""
+        A hit is looked at if the seeds just before it do not hit as well: the first of each run on a diagonal. So repetitive texts
+        and items give as many diagonals as they have tokens, not as many hits as the product of their lengths.
+        """
         words = tokens(text)
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
         hits: set[tuple] = set()
         for mask in self.masks:
             p, h = seeds(ids, mask)
-            lo = np.searchsorted(self.hashes, h)
-            for k in np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h) if len(self.hashes) else ():
-                r = int(lo[k])
-                while r < len(self.hashes) and self.hashes[r] == h[k]:
-                    hits.add((int(self.item[r]), int(p[k] - self.at[r])))
-                    r += 1
+            lo, hi = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
+            q = before(p, h, 1)
+            for k in np.flatnonzero(hi > lo):
+                r = lo[k] + np.flatnonzero(self.before[lo[k] : hi[k]] != q[k])
+                hits.update(zip(self.item[r].tolist(), (p[k] - self.at[r]).tolist(), strict=True))
         found: dict = {}
+        whole: set[int] = set()
         for j, diagonal in sorted(hits):
             i, x = self.items[j]
+            if j in whole:  # no later diagonal of the item is longer or earlier
+                continue
             first, last = max(0, -diagonal), min(len(x), len(ids) - diagonal)
             equal = x[first:last] == ids[first + diagonal : last + diagonal]
             s, e = longest_similar(equal, np.arange(len(equal)))
             if e - s >= min(self.min_words, len(x)):
                 row = (e - s, -(s + first + diagonal), -(s + first), int(equal[s:e].sum()))
                 found[i] = max(found.get(i, row), row)
+                if one:
+                    break
+                if e - s == len(x):
+                    whole.add(j)
         return [(i, n, same, -start, -item_start) for i, (n, start, item_start, same) in sorted(found.items())]
 
 
@@ -151,7 +170,7 @@ def _dropper(shared, column: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = received(shared)
         for batch in batches:
-            yield batch.filter(pa.array([not block.search(x.as_py()) for x in batch.column(column)], pa.bool_()))
+            yield batch.filter(pa.array([not block.search(x.as_py(), one=True) for x in batch.column(column)], pa.bool_()))
 
     return run
 
