@@ -150,25 +150,31 @@ def _prune(rule: Rule, x: dict, y: np.ndarray) -> tuple[Rule, float]:
     return Rule(rule.tests[:k]), value
 
 
-def learn(x: dict, bad: np.ndarray, min_value: float = 0.8, min_cases: int = 3, most_tests: int = 3, most_rules: int = 16, seed: int = 7) -> list[Rule]:
-    """An ordered list of rules for bad texts by sequential covering; a rule stays if it is right in 90 % of the pruning part (value 0.8)."""
+def learn(x: dict, bad: np.ndarray, min_value: float = 0.8, min_cases: int = 3, most_tests: int = 3, most_rules: int = 16, patience: int = 8, seed: int = 7) -> list[Rule]:
+    """An ordered list of rules for bad texts by sequential covering; a rule stays if it is right in 90 % of the pruning part (value 0.8).
+
+    A rule that fails is grown again on other parts; the list ends after `patience` failures in a row.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     rng = np.random.default_rng(seed)
-    while len(rules) < most_rules and bad[left].sum() >= min_cases:
+    failed = 0
+    while len(rules) < most_rules and failed < patience and bad[left].sum() >= min_cases:
+        failed += 1
         at = np.flatnonzero(left)
         part = rng.random(len(at)) < 2 / 3
         grow, prune = at[part], at[~part]
-        if not bad[grow].any():
-            break
+        if not bad[grow].any() or not bad[prune].any():
+            continue
         rule = _grow({f: v[grow] for f, v in x.items()}, bad[grow], most_tests)
         if not rule.tests:
-            break
+            continue
         rule, value = _prune(rule, {f: v[prune] for f, v in x.items()}, bad[prune])
         covered = rule.covers(x) & left
         if value < min_value or bad[covered].sum() < min_cases or bad[covered].mean() < (1 + min_value) / 2:
-            break
+            continue
         rules.append(rule)
+        failed = 0
         left &= ~covered
     return rules
 
