@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, received, share, small_batches, table
+from .common import aside, back, cut, received, share, small_batches, table
 from .components import components
 
 SEED = 42
@@ -136,20 +136,34 @@ def _router(shared) -> Callable:
     return run
 
 
-def _linker(near: int) -> Callable:
+def shard_links(fp: np.ndarray, mask: np.uint64, near: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the fingerprints of one shard; a shard much larger than `leaf` is divided further by a tree fitted on all of it."""
+    fp = np.unique(fp)
+    if len(fp) <= 2 * leaf:
+        return forest(fp, near)
+    found = [forest(fp[at], near) for _, at in Tree(fp, mask, len(fp), near // 2, leaf).route(fp)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _linker(near: int, leaf: int) -> Callable:
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(own["fp"].to_numpy(np.int64).view(np.uint64), near)
+        a, b = shard_links(own["fp"].to_numpy(np.int64).view(np.uint64), HALVES[int(own["leaf"].iloc[0]) % len(HALVES)], near, leaf)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
 
 
-def linked(distinct: DataFrame, near: int = 3, sample: int = 1 << 16, leaf: int = 16384) -> DataFrame:
-    """Links (a, b) that connect all of the distinct fingerprints (column fp) that are within `near` bits, directly or not."""
+def linked(distinct: DataFrame, near: int = 3, least_sample: int = 1 << 16, most_sample: int = 1 << 22, leaf: int = 16384) -> DataFrame:
+    """Links (a, b) that connect all of the distinct fingerprints (column fp) that are within `near` bits, directly or not.
+
+    The trees are fitted on 16 fingerprints for each leaf, between least_sample and most_sample; shards that are too large for that
+    bound are divided again where they are compared.
+    """
     total = distinct.count()
+    sample = min(most_sample, max(least_sample, 16 * total // leaf))
     some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)  # bounded: `sample` longs
     trees = share(distinct.sparkSession, [Tree(some, mask, total, near // 2, leaf) for mask in HALVES])
-    return distinct.select("fp").mapInArrow(_router(trees), "leaf long, fp long").groupBy("leaf").applyInPandas(_linker(near), "a long, b long")
+    return distinct.select("fp").mapInArrow(_router(trees), "leaf long, fp long").groupBy("leaf").applyInPandas(_linker(near, leaf), "a long, b long")
 
 
 def with_components(docs: DataFrame, near: int = 3) -> DataFrame:
@@ -172,11 +186,12 @@ def keep_one(docs: DataFrame, near: int = 3) -> DataFrame:
     found = with_components(docs, near)
     # Nulls last; not by component_id, which components of rows with equal ids share.
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
-    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    key = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    kept = key.join(keep, key["__id"].eqNullSafe(keep["__id"]) & (key["__hash"] == keep["__hash"]), "left_semi")
-    # Rows equal in id and text: the first. The join has brought them together and sorted them.
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))).where("__n = 1").select(*docs.columns)
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
+    key = aside(docs, "doc_id", "text").withColumn("id", F.col("doc_id").cast("long")).withColumn("hash", F.xxhash64("text"))
+    kept = key.join(keep, key["id"].eqNullSafe(keep["id"]) & (key["hash"] == keep["hash"]), "left_semi")
+    # Rows equal in id and text: the first by a hash of their other columns. The join has brought them together.
+    n = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.xxhash64(F.col("extra").cast("string")), F.col("extra").cast("string")))
+    return kept.withColumn("n", n).where("n = 1").select(*[back(c, "doc_id", "text") for c in docs.columns])
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
