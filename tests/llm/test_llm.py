@@ -129,6 +129,33 @@ def test_decontamination_of_short_items_holds_to_the_share():
                 assert found_leak(f"some {text} more", item) == (5 * (n - k) >= 4 * n), (n, places)
 
 
+def test_decontamination_recall_by_length_and_substitutions():
+    r = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    recall = {}
+    for n, most in ((6, 1), (8, 1), (10, 2), (12, 2), (13, 2), (15, 3), (20, 4), (30, 6)):
+        hits = 0
+        for k in range(100):
+            item = r.choice(vocabulary, n).tolist()
+            own = list(item)
+            for at in r.choice(n, most, replace=False):
+                own[at] = "changed"
+            text = " ".join([*r.choice(vocabulary, 20).tolist(), *own, *r.choice(vocabulary, 20).tolist()])
+            hits += bool(decontamination.Block([(k, [w.encode() for w in item])], 13, 5).search(text))
+        recall[n, most] = hits / 100
+    assert recall.pop((6, 1)) >= 0.9 and min(recall.values()) >= 0.95, recall
+
+
+def test_decontamination_of_repetitive_texts_is_linear():
+    item = [b"same"] * 250
+    block = decontamination.Block([(1, item)], 13, 5)
+    text = "same " * 100_000
+    assert block.search(text) == [(1, 250, 250, 0, 0)] and block.search(text, one=True)
+    assert len(block.hashes) < 5 * 250
+    half = decontamination.Block([(2, [b"a", b"b"] * 30)], 13, 5)
+    assert half.search("b a " * 5_000)[0][:3] == (2, 60, 60)
+
+
 def test_longest_similar_is_the_longest():
     r = np.random.default_rng(5)
     for _ in range(200):
@@ -359,6 +386,21 @@ def test_a_hot_group_is_cut_and_balanced(spark):
     assert len(sizes) == 16 and sizes.max() <= 1.1 * sizes.mean()
 
 
+def test_copies_without_ids_are_balanced(spark):
+    rows = [(None, "the same text")] * 4000 + [(i, f"text {i} of its own") for i in range(400)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == 4400 and len(sizes) == 16 and sizes.max() / sizes.mean() <= 1.1
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
+
+
+def test_copies_without_ids_are_packed_in_many_parts(spark):
+    rows = [(None, "same", "a")] * 3000 + [(i, f"own {i}", "b") for i in range(100)]
+    out = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64, rows_per_part=256).toPandas()
+    per_part = (out["bin"] // 2**32).value_counts()
+    assert len(out) == 3100 and per_part.max() < 3 * per_part.mean()
+
+
 def test_placement_takes_the_highest_dot_product():
     r = np.random.default_rng(3)
     cells = r.random((60, 3)) * 100
@@ -540,13 +582,49 @@ def test_trees_lose_no_link(spark):
                 v ^= 1 << int(b)
             values.add(v)
     fp = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-    links = simhash.linked(fp, leaf=16, sample=4096)
+    links = simhash.linked(fp, leaf=16, least_sample=4096, most_sample=4096)
     found = {np.int64(x.a).view(np.uint64).item(): np.int64(x.b).view(np.uint64).item() for x in components.components(links).collect()}
     classes = slow_classes(list(values))
     groups = lambda root: {frozenset(v for v in values if root(v) == c) for c in {root(v) for v in values}}
     assert groups(lambda v: found.get(v, v)) == groups(lambda v: classes[v])
 
 
+def test_large_shards_are_divided_without_losing_links():
+    r = np.random.default_rng(5)
+    fp = np.unique(r.integers(0, 1 << 63, 4000, dtype=np.int64).view(np.uint64))
+    near = fp[:300] ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64))
+    fp = np.concatenate([fp, near])
+    whole = dict(zip(*simhash.forest(fp, 3), strict=True))
+    parts = [simhash.shard_links(fp, mask, 3, 64) for mask in simhash.HALVES]
+    linked = {}
+    for a, b in ((int(x), int(y)) for p in parts for x, y in zip(*p, strict=True)):
+        linked.setdefault(a, set()).add(b)
+        linked.setdefault(b, set()).add(a)
+    for a, b in whole.items():
+        seen, todo = set(), [int(a)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += linked.get(x, ())
+        assert int(b) in seen
+
+
+CLASHES = "doc_id long, text string, source string, lang string, n_removed string, n_lines string, id string, hash string, n string, d string, k string, text_hash string, gone string, extra string, __id string, __hash string"
+
+
+def test_clashing_columns_are_kept(spark):
+    row = lambda i, t: (i, t, "s", "en", *[f"{c}{i}" for c in range(12)])
+    rows = [row(1, prose(1, 40)), row(2, prose(1, 40)), row(2, prose(1, 40)), row(None, None), row(3, prose(3, 30) + "\n" + prose(1, 40))]
+    docs = spark.createDataFrame(rows, CLASHES)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and {r for r in map(tuple, got.collect())} <= set(rows)
+    out = line_dedup.dedup_lines(docs, names=("a", "b"))
+    assert out.columns == [*docs.columns, "a", "b"] and sorted((r.n_removed, r.extra) for r in out.collect()) == sorted((r[4], r[13]) for r in rows)
+    assert line_dedup.dedup_lines(docs).count() == len(rows)
+    assert corpus_pipeline.lines(spark, docs, "").columns == docs.columns
+
+
 def test_simhash_empty(empty):
     assert simhash.with_components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
