@@ -25,9 +25,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs).where(F.expr("n_removed = 0 OR text rlike r'[^\\x20\\x09-\\x0D]'"))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return left.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    n_lines, n_removed = (fresh(docs, n) for n in ("n_lines", "n_removed"))
+    gone = F.col(n_removed) > 0
+    left = line_dedup.dedup_lines(docs, names=(n_lines, n_removed)).where(~gone | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.when(gone, F.char_length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores as no column of docs has it."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
