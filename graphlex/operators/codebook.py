@@ -23,6 +23,14 @@ def shape_codes(patches: DataFrame, most: int = 4096) -> DataFrame:
     return first.select((F.row_number().over(order) - 1).alias("code"), "visual_key", F.col("f.n").alias("n"), F.col("f.e").alias("e"), F.col("f.shape").alias("edges"), "usage")
 
 
+def with_basics(codes: DataFrame) -> DataFrame:
+    """codes and, numbered after them, the single edge and the single node where they are missing: by these any graph has a program."""
+    basics = codes.sparkSession.createDataFrame([("2:0-1", 2, 1, [[0, 1]], 0), ("1:", 1, 0, [], 0)], "visual_key string, n int, e int, edges array<array<int>>, usage long")
+    top = codes.agg(F.coalesce(F.max("code"), F.lit(-1)).alias("top"))
+    new = basics.join(codes.select("visual_key"), "visual_key", "left_anti").withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"))))  # two rows
+    return codes.unionByName(new.join(F.broadcast(top)).select((F.col("top") + F.col("k")).cast("int").alias("code"), "visual_key", "n", "e", "edges", "usage"))
+
+
 def assign_exact(patches: DataFrame, codes: DataFrame) -> DataFrame:
     """patches with the code of their exact shape, null if there is none. A codebook has `most` rows at most, so it is broadcast."""
     return patches.join(F.broadcast(codes.select("visual_key", "code")), "visual_key", "left")

@@ -76,6 +76,7 @@ class MotifModel:
     def __init__(self, motifs: Motifs):
         self.motifs = motifs
         self.n: dict[str, Counter] = defaultdict(Counter)
+        self.totals: dict[str, tuple[int, int]] = {}  # counts and keys of each counter, those that `n` leaves out included
         self.sequences = 0
 
     def parts(self, token: str) -> list[tuple[str, str]]:
@@ -131,7 +132,8 @@ class MotifModel:
 
     def price(self, counter: str, key: str) -> float:
         c = self.n[counter]
-        return -math.log2((c[key] + 1) / (c.total() + max(1, len(c)) + 1))
+        total, distinct = self.totals.get(counter) or (c.total(), len(c))
+        return -math.log2((c[key] + 1) / (total + max(1, distinct) + 1))
 
     def token_bits(self, token: str) -> float:
         whole, parts = self.price("token", token), sum(self.price(c, k) for c, k in self.parts(token))
@@ -147,7 +149,10 @@ class MotifModel:
 
     @classmethod
     def fit(cls, motifs: Motifs, sequences: DataFrame, most_keys: int = 1_000_000) -> MotifModel:
-        """Counts over a table of encoded sequences (tokens); what reaches the driver is counters, `most_keys` keys at most, the most frequent."""
+        """Counts over a table of encoded sequences (tokens); what reaches the driver is counters, `most_keys` keys at most, the most frequent.
+
+        Totals and alphabets are those of all keys; a key beyond `most_keys` is priced as unseen.
+        """
         import pandas as pd
 
         blank = cls(motifs)
@@ -163,8 +168,12 @@ class MotifModel:
 
         table = sequences.select("tokens").mapInPandas(run, "counter string, key string, n bigint").groupBy("counter", "key").agg(F.sum("n").alias("n"))
         out = cls(motifs)
+        table = table.persist()  # small against the sequences; computed again if it is lost
+        for r in table.groupBy("counter").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).collect():  # a dozen counters
+            out.totals[r.counter] = (r.total, r["distinct"])
         for r in table.orderBy(F.desc("n"), "counter", "key").limit(most_keys).collect():
             out.n[r.counter][r.key] = r.n
+        table.unpersist()
         out.sequences = sequences.count()
         return out
 

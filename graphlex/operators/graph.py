@@ -14,10 +14,13 @@ KEY = "graph_id"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the session names; in one of our own where none is named."""
+    """Checkpoint in the shared folder that the session names; where none is named, on a local master only, in one of our own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphlex-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphlex-"))
     return df.checkpoint()
 
 

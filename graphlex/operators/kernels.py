@@ -154,8 +154,12 @@ def wl_digest(adj: Adjacency, rounds: int = 3) -> str:
     return hashlib.sha1(",".join(f"{c}:{n}" for c, n in sorted(Counter(refined_colours(adj, rounds).values()).items())).encode()).hexdigest()
 
 
-def isomorphism(a: Adjacency, b: Adjacency, steps: int = 200_000) -> dict[int, int] | None:
-    """A mapping of a's nodes to b's that keeps all edges; None if there is none or the search took more than `steps`.
+class Undecided(Exception):
+    """A search took more steps than it may."""
+
+
+def isomorphism(a: Adjacency, b: Adjacency, steps: int = 1_000_000) -> dict[int, int] | None:
+    """A mapping of a's nodes to b's that keeps all edges, None if there is none; Undecided after `steps` and 100 more a node.
 
     Colour refinement prunes, then nodes are matched along a connected order with backtracking.
     """
@@ -195,10 +199,11 @@ def isomorphism(a: Adjacency, b: Adjacency, steps: int = 200_000) -> dict[int, i
         return iter([w for w in pool if w not in used and all(to[u] in sets[w] for u in before[k])])
 
     stack = [options(0)] if order else []
+    steps += 100 * len(a)
     while stack and len(to) < len(order):
         steps -= 1
         if steps < 0:
-            return None
+            raise Undecided
         k = len(stack) - 1
         if order[k] in to:
             used.discard(to.pop(order[k]))

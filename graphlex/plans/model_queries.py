@@ -13,7 +13,7 @@ from ..streaming.streams import drain, event_stream, windowed_counts
 from .registry import query
 from .tokenizer import GraphTokenizer
 
-#: A small model: a few rules of each kind, so that a query is a matter of seconds.
+#: A small model: a few rules of each kind. The tokenizer's defaults learn up to 384 rules of a kind at a job each: 326 s for one query at sf0.01.
 SMALL = {"compact": {"max_macros": 4, "max_macro_len": 6, "max_merges": 6}, "motif": {"most_structural": 2, "structural_len": 6, "most_schemas": 32}, "program": {"block_size": 64}}
 
 

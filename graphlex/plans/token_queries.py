@@ -335,14 +335,14 @@ def view_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{W2}, s AS (SELECT * FROM t2 WHERE pos < 6), a AS (SELECT x.seq_id, x.pos AS i, y.pos AS j FROM s x JOIN s y ON x.seq_id = y.seq_id WHERE abs(x.pos - y.pos) <= 1 OR x.tok = y.tok OR (x.tok = 'NO' AND y.tok = 'RF') OR (x.tok = 'RF' AND y.tok = 'NO'))
-  SELECT seq_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(i * 10 + j) AS BIGINT) AS places FROM a GROUP BY seq_id"""
+    f"""{W2}, a AS (SELECT x.seq_id, x.pos AS i, y.pos AS j FROM t2 x JOIN t2 y ON x.seq_id = y.seq_id WHERE abs(x.pos - y.pos) <= 1 OR x.tok = y.tok OR (x.tok = 'NO' AND y.tok = 'RF') OR (x.tok = 'RF' AND y.tok = 'NO'))
+  SELECT seq_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(i * 1000 + j) AS BIGINT) AS places FROM a GROUP BY seq_id"""
 )
 def bias_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_tokens(spark, sf_dir).where("pos < 6")
+    rows = line_tokens(spark, sf_dir)
     refs = rows.select("seq_id", "pos", F.col("tok").alias("ref"))
     links = rows.select("seq_id").distinct().select("seq_id", F.lit("NO").alias("a"), F.lit("RF").alias("b"))
-    return V.bias_pairs(refs, links, 6).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("i") * 10 + F.col("j")).alias("places"))
+    return V.bias_pairs(refs, links, 128).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum(F.col("i") * 1000 + F.col("j")).alias("places"))
 
 
 

@@ -47,8 +47,8 @@ class GraphTokenizer:
     def fit(self, edges: DataFrame, nodes: DataFrame | None = None) -> TokenizerModel:
         o = self.options
         found = cut(self.patches(edges, nodes))
-        codes = codebook.shape_codes(found, o["codebook"]["num_codes"])
-        known = {r.code: {"n": r.n, "edges": [tuple(e) for e in r.edges], "visual_key": r.visual_key} for r in codes.collect()}  # num_codes rows
+        codes = codebook.with_basics(codebook.shape_codes(found, o["codebook"]["num_codes"]))
+        known = {r.code: {"n": r.n, "edges": [tuple(e) for e in r.edges], "visual_key": r.visual_key} for r in codes.collect()}  # num_codes rows and two
         model = TokenizerModel(edges.sparkSession, o, known)
         sequences = cut(model.sequences(edges, nodes))
         rules, short = compact.fit(sequences.withColumnRenamed("graph_id", "seq_id"), **o["compact"])
@@ -168,7 +168,7 @@ class TokenizerModel:
             "format": "graphlex_tokenizer_1", "options": self.options, "codes": {str(k): {**c, "edges": [list(e) for e in c["edges"]]} for k, c in self.codes.items()}, "sizes": self.sizes,
             "macros": [[k, list(v)] for k, v in m.rules.macros.items()], "merges": [[k, list(v)] for k, v in m.rules.merges.items()], "categories": m.categories, "least_emits": m.least_emits, "longest": m.longest,
             **{name: [[k, list(v)] for k, v in getattr(m, name).items()] for name in ("glue_schemas", "code_schemas", "structural")},
-            "models": {name: {"sequences": x.sequences, "counts": {c: dict(n) for c, n in x.n.items()}} for name, x in (("compact", self.compact_model), ("motif", self.motif_model), ("hybrid", self.hybrid_model))},
+            "models": {name: {"sequences": x.sequences, "totals": {c: list(v) for c, v in x.totals.items()}, "counts": {c: dict(n) for c, n in x.n.items()}} for name, x in (("compact", self.compact_model), ("motif", self.motif_model), ("hybrid", self.hybrid_model))},
         }
         write_document(path, {**content, "order": {k: [x[0] for x in content[k]] for k in ("macros", "merges", "structural")}})
 
@@ -184,6 +184,7 @@ class TokenizerModel:
         for name, x in c["models"].items():
             model = MotifModel(m)
             model.sequences = x["sequences"]
+            model.totals = {counter: tuple(v) for counter, v in x.get("totals", {}).items()}
             for counter, n in x["counts"].items():
                 model.n[counter] = Counter(n)
             setattr(out, f"{name}_model", model)

@@ -20,7 +20,7 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: many small graphs, one for each user and week; an edge joins event types that follow each other."""
     week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7)
     node = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")).cast("int") - 1
-    rows = table(spark, sf_dir, "events").select((F.col("user_id") * 10 + week).cast("long").alias("graph_id"), "ts", "event_id", node.alias("node"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") * 1000 + week).cast("long").alias("graph_id"), "ts", "event_id", node.alias("node"))
     nxt = F.lead("node").over(Window.partitionBy("graph_id").orderBy("ts", "event_id"))
     pairs = rows.select("graph_id", "node", nxt.alias("nxt")).where("node <> nxt")
     return pairs.select("graph_id", F.least("node", "nxt").alias("u"), F.greatest("node", "nxt").alias("v")).distinct()
@@ -29,7 +29,7 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_EDGES_SQL = """g1 AS (
   SELECT DISTINCT graph_id, least(node, nxt) AS u, greatest(node, nxt) AS v FROM (
     SELECT graph_id, node, lead(node) OVER (PARTITION BY graph_id ORDER BY ts, event_id) AS nxt FROM (
-      SELECT CAST(user_id * 10 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS BIGINT) AS graph_id, ts, event_id,
+      SELECT CAST(user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS BIGINT) AS graph_id, ts, event_id,
         CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS INTEGER) - 1 AS node FROM events))
   WHERE node <> nxt)"""
 

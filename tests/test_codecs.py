@@ -228,3 +228,25 @@ def test_program_stream_keeps_state(spark, tmp_path):
     out = streams.drain(streams.check_programs(source, EDGE), "program_states", "update").collect()
     last = max(out, key=lambda r: r.executed)
     assert (last.executed, last.illegal, last.done) == (5, 1, True) and len(out) == 2
+
+
+def test_codebooks_always_hold_the_single_edge_and_node(spark):
+    from graphlex.operators import codebook
+
+    schema = "code int, visual_key string, n int, e int, edges array<array<int>>, usage long"
+    triangle = (0, "3:0-1;0-2;1-2", 3, 3, [[0, 1], [0, 2], [1, 2]], 5)
+    out = {r.visual_key: r.code for r in codebook.with_basics(spark.createDataFrame([triangle], schema)).collect()}
+    assert out == {triangle[1]: 0, "2:0-1": 1, "1:": 2}
+    known = spark.createDataFrame([triangle, (1, "2:0-1", 2, 1, [[0, 1]], 2)], schema)
+    assert sorted(r.code for r in codebook.with_basics(known).collect()) == [0, 1, 2]
+    assert sorted(r.visual_key for r in codebook.with_basics(known.limit(0)).collect()) == ["1:", "2:0-1"]
+
+
+def test_unfinished_isomorphism_is_undecided():
+    import pytest
+    from graphlex.operators import kernels as K
+
+    ring = K.adjacency([(k, (k + 1) % 6) for k in range(6)], range(6))
+    assert K.isomorphism(ring, ring) is not None
+    with pytest.raises(K.Undecided):
+        K.isomorphism(ring, ring, steps=-1000)
