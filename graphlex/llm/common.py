@@ -51,15 +51,21 @@ def folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries planned meanwhile remove their shuffle files when they end; what they wrote stays."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings, for queries planned meanwhile."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _shuffles_removed(spark: SparkSession):
+    """Queries planned meanwhile remove their shuffle files when they end; what they wrote stays."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ A line is the set of its words. Equal lines are first reduced to one row each. W
 Jaccard similarity of at least num/den then share a word among the rarest n - ceil(n * num/den) + 1 of each (prefix filter).
 Lines that share such a word stay candidates of each other if their sizes (length filter), the words that may still follow
 (positional filter) and the parity bitmaps of their words (their symmetric difference has at least as many words as the bitmaps
-differ in bits) allow the similarity. A first semi join keeps the prefix words by which a line has any candidate; it yields each
-line and word once. Each such line is then compared with the earliest line of every such word, which settles groups of copies
-without their pairs; only lines that are still unsettled are paired with all earlier candidates. Pairs whose prefixes have enough
-words in common are verified by their exact Jaccard similarity.
+differ in bits) allow the similarity. A bitmap has 64 bits, 128 for lines of 64 words and 256 for lines of 128, as many words fill
+a small one; in lines of some 300 words it excludes little, and verification decides. A first semi join keeps the prefix words by
+which a line has any candidate; it yields each line and word once. Each such line is then compared with the earliest line of every
+such word, which settles groups of copies without their pairs; only lines that are still unsettled are paired with all earlier
+candidates. Pairs are verified by their exact Jaccard similarity.
 
 Result: a line goes if an earlier line is equal or similar, whether or not that one stays itself. Earlier: by id (null first), then
 by a hash of the text, then by line number. Lines without a word and lines with fewer than `min_words` different words stay.
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, back, stored, table
+from .common import aside, back, settings, stored, table
 
 #: White space of words beside \n, for trim().
 TRIM = r"' \t\n\r\u000B\u000C'"
@@ -33,6 +34,22 @@ TRIM = r"' \t\n\r\u000B\u000C'"
 SKETCH_BITS = 18
 #: Bits of the map-side filter before lines are moved, as a power of two.
 FILTER_BITS = 23
+#: A line with blanks for its white space.
+BLANKS = r"CASE WHEN {} THEN translate(line, '\t\r\u000B\u000C', '    ') ELSE line END".format(" OR ".join(f"contains(line, {c})" for c in (r"'\t'", r"'\r'", r"'\u000B'", r"'\u000C'")))
+
+
+def _parity(bit: str, least: int) -> str:
+    """A bitmap of 64 bits, of which each word with the bit set flips one; null for lines of fewer words than `least`."""
+    return f"CASE WHEN n >= {least} THEN aggregate(s, 0L, (a, x) -> a ^ shiftleft({bit}, cast(x & 63 AS int))) END"
+
+
+#: Bitmaps of all words, of those with bit 6 or bit 7 of their key set, and of those with both.
+SIGS = {
+    "sig": _parity("1L", 0),
+    "sig6": _parity("shiftrightunsigned(x, 6) & 1L", 64),
+    "sig7": _parity("shiftrightunsigned(x, 7) & 1L", 128),
+    "sig67": _parity("shiftrightunsigned(x, 6) & shiftrightunsigned(x, 7) & 1L", 128),
+}
 POSITION = ("d", "text_hash", "line_no")
 AT_FIRST = " AND ".join(f"{c} = first_{c}" for c in POSITION)
 
@@ -61,19 +78,16 @@ def _sketch(docs: DataFrame) -> DataFrame:
 
 def _hashes() -> Column:
     """The different words of a line, as hashes."""
-    other = " OR ".join(f"contains(line, {c})" for c in (r"'\t'", r"'\r'", r"'\u000B'", r"'\u000C'"))
-    blank = F.expr(rf"CASE WHEN {other} THEN translate(line, '\t\r\u000B\u000C', '    ') ELSE line END")
-    return F.array_remove(F.array_distinct(F.transform(F.split(blank, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.expr(BLANKS), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _with_prefix(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
-    """Adds n (the number of the line's words), sig (a bitmap of 64 bits that each word flips one of) and prefix (its rarest words' keys, rarest first; none if n < min_words) in place of line."""
-    hashed = lines.withColumn("h", _hashes()).drop("line").withColumn("sketch", sketch.scalar())
-    key = f"get(sketch, cast(shiftrightunsigned(x, {64 - SKETCH_BITS}) AS int)) | (x & {(1 << 57) - 1}L)"
-    keyed = hashed.withColumn("s", F.sort_array(F.expr(f"transform(h, x -> {key})"))).withColumn("n", F.size("s"))
-    sig = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 AS int)))")
+    """Adds n (the number of the line's words), its bitmaps and prefix (its rarest words' keys, rarest first; none if n < min_words) in place of line."""
+    key = f"coalesce(get(sketch, cast(shiftrightunsigned(xxhash64(w), {64 - SKETCH_BITS}) AS int)), 0L) | (xxhash64(w) & {(1 << 57) - 1}L)"  # never null, so that plain longs are sorted
+    words = F.expr(f"sort_array(array_distinct(transform(array_remove(split({BLANKS}, ' '), ''), w -> {key})))")
+    keyed = lines.withColumn("sketch", sketch.scalar()).withColumn("s", words).withColumn("n", F.size("s"))  # the sketch is named once: a column named twice would be copied into each row
     p = F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")
-    return keyed.withColumn("sig", sig).withColumn("prefix", F.slice("s", F.lit(1), p.cast("int"))).drop("h", "s", "sketch")
+    return keyed.withColumns({name: F.expr(sql) for name, sql in SIGS.items()}).withColumn("prefix", F.slice("s", F.lit(1), p.cast("int"))).drop("line", "s", "sketch")
 
 
 def _need(num: int, den: int) -> str:
@@ -87,21 +101,13 @@ def _may(num: int, den: int) -> str:
     The first common word of a similar pair has `need` words or more from its place on in both lines.
     """
     need = _need(num, den)
+    sig, six, seven, both = (f"(a.{x} ^ b.{x})" for x in SIGS)
+    two = f"bit_count({six}) + bit_count({sig} ^ {six})"
+    four = f"bit_count({both}) + bit_count({six} ^ {both}) + bit_count({seven} ^ {both}) + bit_count({sig} ^ {six} ^ {seven} ^ {both})"
     return f"""a.k <> b.k AND b.n * {den} >= a.n * {num} AND a.n * {den} >= b.n * {num}
         AND a.n - a.i >= {need} AND b.n - b.i >= {need}
         AND least(a.i, b.i) + least(a.n - a.i, b.n - b.i) >= {need}
-        AND bit_count(a.sig ^ b.sig) <= a.n + b.n - 2 * {need}"""
-
-
-def _may_still(num: int, den: int) -> str:
-    """A filter by the whole prefixes, for the lines that come this far.
-
-    Of the two prefixes, the words of the one that ends first in the order are in the other one or not in the other line, which misses
-    n - need words of it at most.
-    """
-    end = "(({} * {}.n + {}) div {})"
-    least = f"{_need(num, den)} + 1 - greatest({end.format(num, 'a', den - 1, den)}, {end.format(num, 'b', den - 1, den)})"
-    return f"size(array_intersect(a.prefix, b.prefix)) >= {least}"
+        AND coalesce({four}, {two}, bit_count({sig})) <= a.n + b.n - 2 * {need}"""
 
 
 def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -124,25 +130,25 @@ def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFra
 
 def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
     """For each different line: k, k2, its first position, how often it occurs, and whether an earlier line is similar."""
-    sketch = stored(_sketch(docs))
+    with settings(docs.sparkSession, {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": str(SKETCH_BITS + 1)}):  # the aggregate's fast map holds all cells
+        sketch = stored(_sketch(docs))
     rows = _with_prefix(_lines(docs), sketch, num, den, min_words)
-    first = F.min(F.struct(*POSITION, "k2", "n", "sig", "prefix")).alias("f")
+    first = F.min(F.struct(*POSITION, "k2", "n", *SIGS, "prefix")).alias("f")
     every = stored(rows.groupBy("k").agg(first, F.count("*").alias("times")).select("k", "f.*", "times"))
-    prefixes = every.select("k", "n", "sig", F.posexplode("prefix").alias("i", "word"))
+    prefixes = every.select("k", "n", *SIGS, F.posexplode("prefix").alias("i", "word"))
     hits = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr(f"a.word = b.word AND {_may(num, den)}"), "left_semi"))
     place = F.struct(*POSITION).alias("at")
-    placed = stored(hits.join(every.select("k", place, "prefix"), "k"))
+    placed = stored(hits.join(every.select("k", place), "k"))
     near = placed.groupBy("k").agg(F.min("at").alias("at"))
     texts = _maybe(_lines(docs), placed).withColumn("own", place).join(near, "k").where("own = at")
     words = stored(texts.dropDuplicates(["k"]).select("k", _hashes().alias("h")))
     may = f"b.at < a.at AND {_may(num, den)}"
-    line = F.struct("at", "k", "n", "sig", "i")
+    line = F.struct("at", "k", "n", *SIGS, "i")
     least = placed.groupBy("word").agg(F.min(line).alias("b"))
     leaders = stored(placed.select("word", line.alias("a")).join(least, "word").where(may).select("a.k", F.col("b.k").alias("other")).distinct())
     settled = stored(_verified(leaders, words, num, den))
-    line = F.struct("at", "k", "n", "sig", "i", "prefix")
     rest = placed.join(settled, "k", "left_anti").select("word", line.alias("a")).join(placed.select("word", line.alias("b")), "word")
-    pairs = stored(rest.where(f"{may} AND {_may_still(num, den)}").select("a.k", F.col("b.k").alias("other")).distinct())
+    pairs = stored(rest.where(may).select("a.k", F.col("b.k").alias("other")).distinct())
     late = stored(_verified(pairs.join(leaders, ["k", "other"], "left_anti"), words, num, den))
     similar = settled.unionByName(late).withColumn("similar", F.lit(True))
     return every.select("k", "k2", *POSITION, "times").join(similar, "k", "left").withColumn("similar", F.col("similar").isNotNull())
