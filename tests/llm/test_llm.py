@@ -462,6 +462,17 @@ def slow_lines(rows: list[tuple]) -> dict:
     return out
 
 
+def test_words_and_their_hashes():
+    hashed, r = line_dedup.Words(), np.random.default_rng(80)
+    for n in (0, 1, 6, 1000, 200000):  # the last ones span many pieces, and words longer than a piece
+        text = bytes(r.choice(np.frombuffer(b"abc  \n\t", np.uint8), n)) + b"\n" + (b"x" * 65 + b" " + b"y" * 150000 + b" ab ab" if n > 6 else b"")
+        found = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        start, h = hashed(text)
+        known: dict = {}
+        assert start.tolist() == [at for at, _ in found]
+        assert all(known.setdefault(w, x) == x for (_, w), x in zip(found, h.tolist())) and len(set(known.values())) == len(known)
+
+
 def test_line_dedup_against_all_pairs(spark):
     r = np.random.default_rng(8)
     base = [prose(k, int(r.integers(1, 25))).split() for k in range(40)]
