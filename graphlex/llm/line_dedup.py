@@ -1,7 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-Texts become words, keys, bitmaps and prefixes in Arrow batches; everything after that, joins, filters, verification and removal,
-is DataFrame operations. Forms in DataFrame operations alone took more CPU than the limit (the README has the figures).
+All of it is DataFrame operations (the README has the figures).
 
 A line is the set of its words. Equal lines are first reduced to one row each. Words are ordered by rarity; two lines with
 Jaccard similarity of at least num/den then share a word among the rarest n - ceil(n * num/den) + 1 of each (prefix filter).
@@ -26,37 +25,41 @@ of a finished phase are removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, back, received, share, small_batches, stored, table
+from .common import aside, back, settings, stored, table
 
 #: White space of words beside \n, for trim().
 TRIM = r"' \t\n\r\u000B\u000C'"
 #: Cells of word frequencies, as a power of two.
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 #: Bits of a key that are of the word's hash; the 7 above are of its frequency.
 HASH_BITS = 57
 #: Bits of the map-side filter before lines are moved, as a power of two.
 FILTER_BITS = 23
-#: Words and lines that are sorted at once, but for longer single lines; fewer lines than 2 ^ 16.
-BLOCK_WORDS, BLOCK_LINES = 1 << 18, 1 << 15
 #: Bytes that are hashed at once, and the longest word that is hashed with others.
 PIECE, LONG = 1 << 16, 64
 #: A line with blanks for its white space.
 BLANKS = r"CASE WHEN {} THEN translate(line, '\t\r\u000B\u000C', '    ') ELSE line END".format(" OR ".join(f"contains(line, {c})" for c in (r"'\t'", r"'\r'", r"'\u000B'", r"'\u000C'")))
-#: Bitmaps of all words, of those with bit 6 or bit 7 of their key set, and of those with both: the bits that a word has set, and the fewest words of a line that has the bitmap.
-SIGS = {"sig": (0, 0), "sig6": (64, 64), "sig7": (128, 128), "sig67": (192, 128)}
-LINE_SCHEMA = f"d long, text_hash long, line_no int, k long, k2 long, n int, {', '.join(f'{x} long' for x in SIGS)}, prefix array<long>"
-#: Seeds of a line's two hashes, as Spark's xxhash64(line) and xxhash64(1, line) have them.
+
+
+def _parity(bit: str, least: int) -> str:
+    """A bitmap of 64 bits, of which each word with the bit set flips one; null for lines of fewer words than `least`."""
+    return f"CASE WHEN n >= {least} THEN aggregate(s, 0L, (a, x) -> a ^ shiftleft({bit}, cast(x & 63 AS int))) END"
+
+
+#: Bitmaps of all words, of those with bit 6 or bit 7 of their key set, and of those with both.
+SIGS = {
+    "sig": _parity("1L", 0),
+    "sig6": _parity("shiftrightunsigned(x, 6) & 1L", 64),
+    "sig7": _parity("shiftrightunsigned(x, 7) & 1L", 128),
+    "sig67": _parity("shiftrightunsigned(x, 6) & shiftrightunsigned(x, 7) & 1L", 128),
+}
+#: Seed of the hashes of words.
 SEED = 42
-SECOND_SEED = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), SEED)
 POSITION = ("d", "text_hash", "line_no")
 AT_FIRST = " AND ".join(f"{c} = first_{c}" for c in POSITION)
 
@@ -67,15 +70,14 @@ def _id() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, text_hash, line_no, line, k, k2 of each line that has a word."""
+    """d, text_hash, line_no, line, k, k2 of each line."""
     hashed = docs.select(_id().alias("d"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("x"))  # once a text, not once a line
     lines = hashed.select("d", "text_hash", F.posexplode("x").alias("line_no", "line"))
-    some = lines.where(F.expr(f"btrim(line, {TRIM}) <> ''"))
-    return some.withColumn("k", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
+    return lines.withColumn("k", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
 class Words:
-    """Words of UTF-8 bytes and their 64-bit hashes, without a Python object for each.
+    """Words of UTF-8 bytes and their 64-bit hashes, without a Python object for each. The query, which is native, does not use it.
 
     A word's hash is the sum of its bytes' random values, each times a power of an odd number that its place gives, mixed. Powers
     are taken from the start of a piece of text, so that a running sum serves all words in it, and divided out again. Words of
@@ -112,81 +114,17 @@ class Words:
         return start, out
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many words of the texts fall in each hash cell; one row a cell that has any."""
-    words, counts = Words(), np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        _, h = words(b"\n".join(batch.column(0).cast(pa.binary()).to_pylist()))
-        counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["cell", "n"])
-
-
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """The upper 7 bits of the keys of the words in each of 2 ^ SKETCH_BITS hash cells, as bytes.
+def _sketch(docs: DataFrame) -> DataFrame:
+    """One row, one array: the upper 7 bits of the keys of the words in each of 2 ^ SKETCH_BITS hash cells.
 
     They are 3 * log2 of how often the cell's words occur in all texts, so that they order counts up to 2 ^ 42.
     """
-    cells = docs.where("text IS NOT NULL").select("text").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found = cells.select("cell", F.expr("cast(least(3 * log2(n + 1), 127) AS tinyint)").alias("level")).toArrow()
-    levels = np.zeros(1 << SKETCH_BITS, np.int8)
-    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
-    return levels
-
-
-def _block(places: list[pa.Array], keys: np.ndarray, sizes: np.ndarray, num: int, den: int, min_words: int) -> pa.RecordBatch:
-    """Rows of LINE_SCHEMA for lines with the columns `places`, whose words' keys stand one after another in `keys`, repeats included."""
-    line = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-    by_key = np.argsort(keys)
-    order = by_key[np.argsort(line[by_key], kind="stable")]  # by line, then by key
-    key, line = keys[order], line[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
-    n = np.bincount(line, minlength=len(sizes))
-    start = np.cumsum(n) - n
-    bit = np.left_shift(np.uint64(1), (key & 63).astype(np.uint64))
-    bitmaps = []
-    for mask, least in SIGS.values():
-        bits = np.where(key & mask == mask, bit, np.uint64(0)) if mask else bit
-        bitmaps.append(pa.array(np.bitwise_xor.reduceat(bits, start).view(np.int64), pa.int64(), mask=n < least))
-    p = np.where(n < min_words, 0, n - (num * n + den - 1) // den + 1)
-    end = np.cumsum(p)
-    rarest = np.repeat(start - (end - p), p) + np.arange(end[-1])
-    prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(key[rarest], pa.int64()))
-    return pa.RecordBatch.from_arrays([*places, pa.array(n, pa.int32()), *bitmaps, prefix], names=["d", "text_hash", "line_no", "k", "k2", "n", *SIGS, "prefix"])
-
-
-def _with_prefix(docs: DataFrame, sketch: Broadcast, num: int, den: int, min_words: int) -> DataFrame:
-    """A row for each line that has a word: its place and hashes as in _lines, n (the number of its words), its bitmaps and prefix (its rarest words' keys, rarest first; none if n < min_words)."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, words, digest = received(sketch).astype(np.int64) - 64, Words(), xxhash.xxh64_intdigest  # 64 less, so that signed order is their order
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            joined = b"\n".join(texts)
-            breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
-            word, h = words(joined)
-            if not len(word):
-                continue
-            keys = (levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << HASH_BITS) | (h.view(np.int64) & ((1 << HASH_BITS) - 1))
-            line_of = np.searchsorted(breaks, word)
-            at = np.flatnonzero(np.diff(line_of, prepend=-1))  # the first word of each line that has any
-            line, upto = line_of[at], np.append(at, len(word))
-            opening = np.cumsum([0] + [x.count(b"\n") + 1 for x in texts[:-1]])  # the first line of each text
-            text = np.searchsorted(opening, line, "right") - 1
-            left, right = np.concatenate([[0], breaks + 1])[line].tolist(), np.append(breaks, len(joined))[line].tolist()
-            i = 0
-            while i < len(line):
-                j = max(i + 1, min(i + BLOCK_LINES, int(np.searchsorted(upto, upto[i] + BLOCK_WORDS)), len(line)))
-                which = pa.array(text[i:j])
-                raw = [joined[a:b] for a, b in zip(left[i:j], right[i:j])]
-                k, k2 = (pa.array(np.array([digest(x, seed) for x in raw], np.uint64).view(np.int64)) for seed in (SEED, SECOND_SEED))
-                places = [batch.column(0).take(which), batch.column(1).take(which), pa.array(line[i:j] - opening[text[i:j]], pa.int32()), k, k2]
-                yield _block(places, keys[upto[i] : upto[j]], np.diff(upto[i : j + 1]), num, den, min_words)
-                i = j
-
-    return docs.where("text IS NOT NULL").select(_id().alias("d"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lines, LINE_SCHEMA)
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    cells = words.groupBy(F.expr(f"shiftrightunsigned(xxhash64(w), {64 - SKETCH_BITS})").alias("cell")).agg(F.count("*").alias("n"))
+    every = docs.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
+    dense = cells.union(every).groupBy("cell").agg(F.sum("n").alias("n"))
+    level = f"shiftleft(cast(least(3 * log2(x.n + 1), 127) AS bigint) - 64, {HASH_BITS})"  # 64 less, so that signed order is their order
+    return dense.agg(F.expr(f"transform(sort_array(collect_list(struct(cell, n))), x -> {level})").alias("sketch"))
 
 
 def _hashes() -> Column:
@@ -194,6 +132,16 @@ def _hashes() -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(F.expr(BLANKS), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
+def _with_prefix(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
+    """Adds n (the number of the line's words), its bitmaps and prefix (its rarest words' keys, rarest first; none if n < min_words) in place of line."""
+    key = f"coalesce(get(sketch, cast(shiftrightunsigned(h, {64 - SKETCH_BITS}) AS int)), 0L) | (h & {(1 << HASH_BITS) - 1}L)"  # never null, so that plain longs are sorted
+    hashes = f"array_remove(array_distinct(transform(split({BLANKS}, ' '), w -> xxhash64(w))), xxhash64(''))"
+    words = F.expr(f"sort_array(transform({hashes}, h -> {key}))")
+    keyed = lines.withColumn("sketch", sketch.scalar()).withColumn("s", words).withColumn("n", F.size("s"))  # the sketch is named once: a column named twice would be copied into each row
+    p = F.expr(f"CASE WHEN n < {min_words} THEN 0 ELSE n - (({num} * n + {den - 1}) div {den}) + 1 END")
+    return keyed.withColumns({name: F.expr(sql) for name, sql in SIGS.items()}).withColumn("prefix", F.slice("s", F.lit(1), p.cast("int"))).drop("line", "s", "sketch")
+
+
 def _need(num: int, den: int) -> str:
     """Common words that make the similarity of aliases a and b."""
     return f"(({num} * (a.n + b.n) + {num + den - 1}) div {num + den})"
@@ -234,9 +182,10 @@ def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFra
 
 def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) -> DataFrame:
     """For each different line: k, k2, its first position, how often it occurs, and whether an earlier line is similar."""
-    small_batches(docs.sparkSession)
-    sketch = share(docs.sparkSession, _sketch(docs))
-    rows = _with_prefix(docs, sketch, num, den, min_words)
+    with settings(docs.sparkSession, {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": str(SKETCH_BITS + 1)}):  # the aggregate's fast map holds all cells
+        sketch = stored(_sketch(docs))
+    some = _lines(docs).where(F.expr(f"btrim(line, {TRIM}) <> ''"))
+    rows = _with_prefix(some, sketch, num, den, min_words)
     first = F.min(F.struct(*POSITION, "k2", "n", *SIGS, "prefix")).alias("f")
     every = stored(rows.groupBy("k").agg(first, F.count("*").alias("times")).select("k", "f.*", "times"))
     prefixes = every.select("k", "n", *SIGS, F.posexplode("prefix").alias("i", "word"))

@@ -502,6 +502,23 @@ def test_line_dedup_edges(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e\nx\ty"), (2, "a b c d e\nx y\na b c d f"), (3, None)], "doc_id long, text string")
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    for out in (line_dedup.dedup_lines(docs), corpus_pipeline.lines(spark, docs, "")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        assert {r.doc_id: r.text for r in out.collect()}[2] == "a b c d f"
+    assert [r.n_removed for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 2, 0]
+
+
 # 9 Tokens
 
 
