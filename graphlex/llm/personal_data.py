@@ -18,6 +18,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,8 @@ def _count(chars: str) -> str:
 
 
 def _context(words: str) -> str:
-    return f"cast(lower(x.b) rlike r'(?:{words})[^0-9]{{0,12}}$' AS int)"
+    # Not lower(): its first call in a process makes some GB of garbage over all code points, and the heap grows for good.
+    return f"cast(x.b rlike r'(?i)(?:{words})[^0-9]{{0,12}}$' AS int)"
 
 
 _GROUPS = r"filter(split(x.m, r'[^0-9A-Za-z]+'), v -> v <> '')"
@@ -94,7 +96,7 @@ FEATURES = {
     "luhn": f"cast({_luhn(_DIGITS)} AS int)",
     "octets": f"cast(size({_GROUPS}) = 4 AND forall({_GROUPS}, v -> v rlike '^[0-9]{{1,3}}$' AND cast(v AS int) <= 255) AS int)",
     "ending": r"cast(x.m rlike r'[^A-Za-z][A-Za-z]{2,6}$' AS int)",
-    "written": r"cast(lower(x.m) rlike r'\bdot\b' AS int)",
+    "written": r"cast(x.m rlike r'(?i)\bdot\b' AS int)",
     "near_mail": _context("e-?mail|contact|write|reach|correo|schreib"),
     "near_phone": _context("tel|telefon|phone|call|fax|mobile|cell|whatsapp|ruf"),
     "near_card": _context("card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte"),
@@ -314,10 +316,15 @@ def threshold(score: np.ndarray, y: np.ndarray) -> float:
     return max(LEAST, float(score[order][good[-1]])) if len(good) else float("inf")
 
 
+def texts_of(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """i, t: the samples' texts by number. From Arrow, as a list of rows would start Python workers on the executors."""
+    return spark.createDataFrame(pa.table({"i": pa.array(range(len(rows)), pa.int32()), "t": pa.array([t for t, *_ in rows], pa.string())}))
+
+
 def fit(spark: SparkSession, per_kind: int = 600, seed: int = 11) -> dict[int, tuple[list, float]]:
     """For each kind number its trees and threshold."""
     rows = spanned_samples(per_kind, seed)
-    df = candidates(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "i int, t string"), "t")
+    df = candidates(texts_of(spark, rows), "t")
     got = df.select("i", F.explode("candidates").alias("c")).select("i", "c.k", "c.s", "c.e", *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]).distinct().orderBy("i", "k", "s", "e", *FEATURES).toPandas()
     kind = np.array([k for _, k, *_ in rows])
     got = got[got["k"].to_numpy() == kind[got["i"]]]

@@ -312,6 +312,16 @@ def test_personal_data_trees_hold_out(spark, model):
     assert (hit & true).sum() / hit.sum() >= 0.97 and (hit & true).sum() / true.sum() >= 0.85
 
 
+def test_personal_data_makes_no_heap_and_no_workers_of_its_own(spark):
+    """lower() fills an executor's heap once in its life, a list of rows starts Python workers."""
+    assert not [name for name, sql in personal_data.FEATURES.items() if "lower(" in sql]
+    texts = personal_data.texts_of(spark, personal_data.spanned_samples(5, 1))
+    assert texts.count() == 25 and "PythonRDD" not in texts._jdf.queryExecution().toRdd().toDebugString()
+    before = spark.createDataFrame([("CONTACT: ",), ("Telefon ",), ("nothing ",)], "b string").selectExpr("named_struct('b', b, 'a', '', 'm', 'a DOT b') AS x")
+    got = before.selectExpr(*[f"{personal_data.FEATURES[f]} AS {f}" for f in ("near_mail", "near_phone", "written")]).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 1), (0, 1, 1), (0, 0, 1)]
+
+
 def test_personal_data_edges(odd, empty, model, spark):
     assert personal_data.redact_spans(odd, model).count() == len(ODD) and personal_data.redact_spans(empty, model).count() == 0
     long = ["7 " * 30000, "@" * 5000 + "a@b.c", "1." * 30000, "a" * 200_000 + "@x.y", "1" * 100_000, "+1" + "(" * 100_000]
