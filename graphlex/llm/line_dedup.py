@@ -6,7 +6,7 @@ A line is the set of its words. Equal lines are first reduced to one row each. W
 Jaccard similarity of at least num/den then share a word among the rarest n - ceil(n * num/den) + 1 of each (prefix filter).
 Lines that share such a word stay candidates of each other if their sizes (length filter), the words that may still follow
 (positional filter) and the parity bitmaps of their words (their symmetric difference has at least as many words as the bitmaps
-differ in bits) allow the similarity. A bitmap has 64 bits, 128 for lines of 64 words and 256 for lines of 128, as many words fill
+differ in bits) allow the similarity. A bitmap has 64 bits, 128 for lines of 88 words and 256 for lines of 192, as many words fill
 a small one; in lines of some 300 words it excludes little, and verification decides. A first semi join keeps the prefix words by
 which a line has any candidate; it yields each line and word once. Each such line is then compared with the earliest line of every
 such word, which settles groups of copies without their pairs; only lines that are still unsettled are paired with all earlier
@@ -54,9 +54,9 @@ def _parity(bit: str, least: int) -> str:
 #: Bitmaps of all words, of those with bit 6 or bit 7 of their key set, and of those with both.
 SIGS = {
     "sig": _parity("1L", 0),
-    "sig6": _parity("shiftrightunsigned(x, 6) & 1L", 64),
-    "sig7": _parity("shiftrightunsigned(x, 7) & 1L", 128),
-    "sig67": _parity("shiftrightunsigned(x, 6) & shiftrightunsigned(x, 7) & 1L", 128),
+    "sig6": _parity("shiftrightunsigned(x, 6) & 1L", 88),
+    "sig7": _parity("shiftrightunsigned(x, 7) & 1L", 192),
+    "sig67": _parity("shiftrightunsigned(x, 6) & shiftrightunsigned(x, 7) & 1L", 192),
 }
 #: Seed of the hashes of words.
 SEED = 42
@@ -115,16 +115,18 @@ class Words:
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """One row, one array: the upper 7 bits of the keys of the words in each of 2 ^ SKETCH_BITS hash cells.
+    """One row, one array: what turns the upper 7 bits of a word's hash into those of its key, by exclusive or, for each of 2 ^ SKETCH_BITS hash cells.
 
-    They are 3 * log2 of how often the cell's words occur in all texts, so that they order counts up to 2 ^ 42.
+    Those of the key are 3 * log2 of how often the cell's words occur in all texts, so that they order counts up to 2 ^ 42; those of
+    the hash are the cell's own, so that one operation a word gives its key.
     """
     words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     cells = words.groupBy(F.expr(f"shiftrightunsigned(xxhash64(w), {64 - SKETCH_BITS})").alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << SKETCH_BITS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
     dense = cells.union(every).groupBy("cell").agg(F.sum("n").alias("n"))
     level = f"shiftleft(cast(least(3 * log2(x.n + 1), 127) AS bigint) - 64, {HASH_BITS})"  # 64 less, so that signed order is their order
-    return dense.agg(F.expr(f"transform(sort_array(collect_list(struct(cell, n))), x -> {level})").alias("sketch"))
+    own = f"shiftleft(shiftright(x.cell, {SKETCH_BITS + HASH_BITS - 64}), {HASH_BITS})"
+    return dense.agg(F.expr(f"transform(sort_array(collect_list(struct(cell, n))), x -> {level} ^ {own})").alias("sketch"))
 
 
 def _hashes() -> Column:
@@ -134,7 +136,7 @@ def _hashes() -> Column:
 
 def _with_prefix(lines: DataFrame, sketch: DataFrame, num: int, den: int, min_words: int) -> DataFrame:
     """Adds n (the number of the line's words), its bitmaps and prefix (its rarest words' keys, rarest first; none if n < min_words) in place of line."""
-    key = f"coalesce(get(sketch, cast(shiftrightunsigned(h, {64 - SKETCH_BITS}) AS int)), 0L) | (h & {(1 << HASH_BITS) - 1}L)"  # never null, so that plain longs are sorted
+    key = f"coalesce(get(sketch, cast(shiftrightunsigned(h, {64 - SKETCH_BITS}) AS int)), 0L) ^ h"  # never null, so that plain longs are sorted
     hashes = f"array_remove(array_distinct(transform(split({BLANKS}, ' '), w -> xxhash64(w))), xxhash64(''))"
     words = F.expr(f"sort_array(transform({hashes}, h -> {key}))")
     keyed = lines.withColumn("sketch", sketch.scalar()).withColumn("s", words).withColumn("n", F.size("s"))  # the sketch is named once: a column named twice would be copied into each row

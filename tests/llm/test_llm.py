@@ -472,6 +472,26 @@ def slow_lines(rows: list[tuple]) -> dict:
     return out
 
 
+def test_line_dedup_wide_bitmaps_stand_for_long_lines_only(spark):
+    """A key is the word's hash with 7 bits replaced by its frequency; lines of either bitmap are still compared with each other."""
+    texts = [" ".join(f"w{i}" for i in range(a, a + n)) for a, n in ((0, 87), (0, 88), (1000, 191), (1000, 192), (2000, 70))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch = line_dedup._sketch(docs)
+    rows = line_dedup._with_prefix(line_dedup._lines(docs), sketch, 4, 5, 2).orderBy("d").collect()
+    assert [(r.n, r.sig6 is None, r.sig67 is None) for r in rows] == [(87, True, True), (88, False, True), (191, False, True), (192, False, False), (70, True, True)]
+    changes = sketch.head().sketch
+    for r, text in zip(rows, texts):
+        low = (1 << line_dedup.HASH_BITS) - 1
+        keys = []
+        for w in text.split():
+            h = xxhash.xxh64_intdigest(w, 42)
+            level = (changes[h >> 64 - line_dedup.SKETCH_BITS] >> line_dedup.HASH_BITS) ^ (h - (h >> 63 << 64) >> line_dedup.HASH_BITS)
+            assert -64 < level < -50  # 3 * log2(n + 1) - 64 of a few occurrences
+            keys.append((level << line_dedup.HASH_BITS) + (h & low))
+        assert r.prefix == sorted(keys)[: r.n - -(-4 * r.n // 5) + 1]
+    assert [r.n_removed for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1, 0, 1, 0]
+
+
 def test_words_and_their_hashes():
     hashed, r = line_dedup.Words(), np.random.default_rng(80)
     for n in (0, 1, 6, 1000, 200000):  # the last ones span many pieces, and words longer than a piece
