@@ -187,9 +187,9 @@ def verdicts(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = 2) ->
     with settings(docs.sparkSession, {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": str(SKETCH_BITS + 1)}):  # the aggregate's fast map holds all cells
         sketch = stored(_sketch(docs))
     some = _lines(docs).where(F.expr(f"btrim(line, {TRIM}) <> ''"))
-    rows = _with_prefix(some, sketch, num, den, min_words)
-    first = F.min(F.struct(*POSITION, "k2", "n", *SIGS, "prefix")).alias("f")
-    every = stored(rows.groupBy("k").agg(first, F.count("*").alias("times")).select("k", "f.*", "times"))
+    first = F.min(F.struct(*POSITION, "k2", "line")).alias("f")
+    lines = some.groupBy("k").agg(first, F.count("*").alias("times")).select("k", "f.*", "times")  # words of equal lines are hashed and sorted once
+    every = stored(_with_prefix(lines, sketch, num, den, min_words))
     prefixes = every.select("k", "n", *SIGS, F.posexplode("prefix").alias("i", "word"))
     hits = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr(f"a.word = b.word AND {_may(num, den)}"), "left_semi"))
     place = F.struct(*POSITION).alias("at")

@@ -492,6 +492,21 @@ def test_line_dedup_wide_bitmaps_stand_for_long_lines_only(spark):
     assert [r.n_removed for r in line_dedup.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1, 0, 1, 0]
 
 
+def test_line_dedup_hashes_the_words_of_equal_lines_once(spark, monkeypatch):
+    given, with_prefix = [], line_dedup._with_prefix
+
+    def watched(lines, *args):
+        given.extend(r.line for r in lines.collect())
+        return with_prefix(lines, *args)
+
+    monkeypatch.setattr(line_dedup, "_with_prefix", watched)
+    docs = spark.createDataFrame([(2, "a b c d e\n\nx y"), (1, "a b c d e\na b  c d e\na b c d e"), (3, "x y\nx z"), (None, "x y"), (4, None)], "doc_id long, text string")
+    found = line_dedup.verdicts(docs).collect()
+    assert sorted(given) == ["a b  c d e", "a b c d e", "x y", "x z"]
+    assert sorted((r.d, r.line_no, r.times, r.similar) for r in found) == [(-(1 << 63), 0, 3, False), (1, 0, 3, False), (1, 1, 1, True), (3, 1, 1, False)]
+    assert {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()} == {1: ("a b c d e", 2), 2: ("", 2), 3: ("x z", 1), None: ("x y", 0), 4: (None, 0)}
+
+
 def test_words_and_their_hashes():
     hashed, r = line_dedup.Words(), np.random.default_rng(80)
     for n in (0, 1, 6, 1000, 200000):  # the last ones span many pieces, and words longer than a piece
